@@ -98,12 +98,11 @@ def quality_rules(docs: DataFrame, spread: float = 3.0, min_group: int = 200) ->
     keys = ["key_lang", "key_source"]
     own = materialise(ratio_sketches(keyed, keys), "quality-sketches")
     by_group, by_lang, by_all = (sketch_fences(s, k, spread) for s, k in ((own, keys), (merge_sketches(own, keys[:1]), keys[:1]), (merge_sketches(own, []), [])))
-    names = lambda df, tag: df.select("*", F.lit(0).alias("root")).withColumnsRenamed({"size": f"size_{tag}", "fences": f"fences_{tag}"})
-    fences = materialise(
-        names(by_group, "group").drop("root").join(names(by_lang, "lang"), keys[:1]).join(F.broadcast(names(by_all, "all")), "root")  # one row
-        .select(*keys, F.when(F.col("size_group") >= min_group, F.col("fences_group")).when(F.col("size_lang") >= min_group, F.col("fences_lang")).otherwise(F.col("fences_all")).alias("fences")),
-        "quality-fences",
-    )
+    one = by_all.select("fences").first()  # a single row
+    whole = F.struct(*(F.struct(F.lit(one.fences[x].low).alias("low"), F.lit(one.fences[x].high).alias("high")).alias(x) for x in RATIOS)) if one else F.lit(None)
+    names = lambda df, tag: df.withColumnsRenamed({"size": f"size_{tag}", "fences": f"fences_{tag}"})
+    chosen = F.when(F.col("size_group") >= min_group, F.col("fences_group")).when(F.col("size_lang") >= min_group, F.col("fences_lang")).otherwise(whole)
+    fences = materialise(names(by_group, "group").join(names(by_lang, "lang"), keys[:1]).select(*keys, chosen.alias("fences")), "quality-fences")
     ratio = lambda name: F.col(RATIOS[name][0]) / F.col("n_words")
     out = lambda name: (ratio(name) > F.col(f"fences.{name}.high")) | (ratio(name) < F.col(f"fences.{name}.low") if RATIOS[name][2] else F.lit(False))
     failed = F.when(F.col("n_words") > 0, F.filter(F.array(*(F.when(out(name), F.lit(name)) for name in RATIOS)), F.isnotnull)).otherwise(F.array().cast("array<string>"))
