@@ -98,7 +98,7 @@ def quality_rules(docs: DataFrame, spread: float = 3.0, min_group: int = 200) ->
     keys = ["key_lang", "key_source"]
     own = materialise(ratio_sketches(keyed, keys), "quality-sketches")
     by_group, by_lang, by_all = (sketch_fences(s, k, spread) for s, k in ((own, keys), (merge_sketches(own, keys[:1]), keys[:1]), (merge_sketches(own, []), [])))
-    one = by_all.select("fences").first()  # a single row
+    one = by_all.where("size > 0").select("fences").first()  # a single row, none if no document has words
     whole = F.struct(*(F.struct(F.lit(one.fences[x].low).alias("low"), F.lit(one.fences[x].high).alias("high")).alias(x) for x in RATIOS)) if one else F.lit(None)
     names = lambda df, tag: df.withColumnsRenamed({"size": f"size_{tag}", "fences": f"fences_{tag}"})
     chosen = F.when(F.col("size_group") >= min_group, F.col("fences_group")).when(F.col("size_lang") >= min_group, F.col("fences_lang")).otherwise(whole)

@@ -1,13 +1,16 @@
 """Registered queries of the training-data operators."""
 
-from skylattice.llm import sharding
+from skylattice.llm import quotes, sharding
+from skylattice.llm.contamination import op8_spaced_seeds
+from skylattice.llm.language import op7_language_id
 from skylattice.llm.mixing import op1_mix_sources
 from skylattice.llm.quality import op2_quality_rules
+from skylattice.llm.quotes import op3_quote_links
 from skylattice.llm.repeats import op9_repeats
 from skylattice.llm.sharding import op4_extendible_shards
 from skylattice.llm.simhash import op6_simhash
 from skylattice.llm.tokens import op5_wavelet_tokens
 from skylattice.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_extendible_shards, op5_wavelet_tokens, op6_simhash, op9_repeats, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {**sharding.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quote_links, op4_extendible_shards, op5_wavelet_tokens, op6_simhash, op7_language_id, op8_spaced_seeds, op9_repeats, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {**quotes.ORACLE_SQL, **sharding.ORACLE_SQL}
