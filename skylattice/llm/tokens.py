@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,58 +35,137 @@ from skylattice.storage import join_small, materialise, new_path
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 BLOCK = 4096
-CACHE_WORDS = 300_000
+MARKS = ",.;:!?"
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 32 << 20
 MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sIQQ")
 _AMBIGUOUS = re.compile(r"\s \s")
-_caches: dict[str, tuple] = {}
+_encoders: dict[str, tuple] = {}
 
 
-class WordCachedEncoder:
-    """The tokenizers library with a cache of encoded words.
+class WordEncoder:
+    """The tokenizers library, called once for each distinct word of a slice of texts.
 
-    A byte-level pre-tokenizer joins a space to the letters after it and never looks across the boundary before such a
-    space, so a text is encoded word by word; a space with white space on both sides is the exception, and a text that
-    has one is encoded as a whole."""
+    A byte-level pre-tokenizer joins a space to what follows it and never looks across the boundary before such a space,
+    so a text can be encoded word by word, a word being what is between two spaces. The exception is a space with white
+    space on both sides: texts that have one are encoded as a whole. Words of letters alone are one piece, which a second
+    tokenizer with the same model takes as it is; in both, words are told apart by the ids that begin with a space."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
+        self.by_piece = Tokenizer.from_file(path)
+        self.by_piece.encode_special_tokens = True
+        self.by_piece.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # how a byte-level vocabulary writes the bytes: printable ones as themselves, the others from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        space = self.letters[ord(" ")]
+        self.letters[ord(" ")] = " " + space
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split, whole = [], {}
-        for i, text in enumerate(texts):
-            if _AMBIGUOUS.search(text):
-                whole[i] = None
-                split.append([])
-            else:
-                first, *rest = text.split(" ")
-                split.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        known = self.words
-        new = list({x for words in split for x in words} - known.keys())
-        if len(known) + len(new) > CACHE_WORDS:
-            known = self.words = {}
-            new = list({x for words in split for x in words})
-        for at in range(0, len(new), 65536):
-            known.update(zip(new[at : at + 65536], self._encode(new[at : at + 65536])))
-        for i in whole:
-            whole[i] = self._encode([texts[i]])[0]
-        get = known.__getitem__
-        return [np.frombuffer(whole[i] if i in whole else b"".join(map(get, words)), "<u4") for i, words in enumerate(split)]
-
-
-def encoder(path: str) -> WordCachedEncoder:
-    """One for each Python worker, which keeps its cache between tasks."""
-    if path not in _caches:
-        _caches[path] = WordCachedEncoder(path)
-    return _caches[path]
+        self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
+        self.spaced = np.zeros(1 << self.bits, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spaced[i] = token.startswith(space)
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, tokenizer, words: pa.Array, spell) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids, and their number, of words that follow a space."""
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 65536):
+            part = words.slice(at, 65536).to_pylist()
+            found = self._ids(tokenizer, [spell(" " + " ".join(part))])[0]
+            starts = np.flatnonzero(self.spaced[found])
+            if len(starts) != len(part):
+                raise ValueError("words can't be told apart in this vocabulary")
+            ids.append(found)
+            sizes.append(np.diff(np.append(starts, len(found))))
+        return ids, sizes
+
+    def _distinct(self, words: pa.Array, alpha: np.ndarray, odd: np.ndarray) -> "Rows":
+        """A row of ids for each distinct word that follows a space. Marks after letters are a piece of their own."""
+        core = pc.utf8_rtrim(words, MARKS)
+        marked = ~alpha & ~odd & pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+        letters = core.filter(pa.array(alpha | marked)).dictionary_encode()
+        marks = pa.array([w[len(c) :] for w, c in zip(words.filter(pa.array(marked)).to_pylist(), core.filter(pa.array(marked)).to_pylist())], pa.string()).dictionary_encode()
+        others = words.filter(pa.array(~alpha & ~odd & ~marked))
+        by_piece = self._words(self.by_piece, letters.dictionary, lambda x: x.encode().decode("latin-1").translate(self.letters))
+        by_text = self._words(self.tokenizer, others, str)
+        strange = self._ids(self.tokenizer, [" " + x for x in words.filter(pa.array(odd)).to_pylist()])
+        ends = self._ids(self.tokenizer, marks.dictionary.to_pylist())
+        pieces = Rows(np.concatenate([*by_piece[0], *by_text[0], *strange, *ends]), np.concatenate([*by_piece[1], *by_text[1], _sizes(strange), _sizes(ends)]))
+        n_letters, n_others = len(letters.dictionary), len(others)
+        first = np.zeros(len(words), np.int64)
+        first[alpha | marked] = letters.indices.to_numpy()
+        first[~alpha & ~odd & ~marked] = n_letters + np.arange(n_others)
+        first[odd] = n_letters + n_others + np.arange(len(strange))
+        parts, at = np.repeat(first, 1 + marked), np.cumsum(1 + marked) - 1
+        parts[at[marked]] = n_letters + n_others + len(strange) + marks.indices.to_numpy()
+        per_part = pieces.sizes[parts]
+        sizes = np.add.reduceat(per_part, at - marked) if len(words) else per_part
+        return Rows(pieces.gather(parts), sizes)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of each."""
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        firsts = self._ids(self.tokenizer, lists.values.take(pa.array(bounds[:-1])).to_pylist())  # these follow no space
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        distinct, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        alpha = pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False)
+        odd = ~alpha & pc.or_(pc.equal(distinct, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, 0, 1))).to_numpy(zero_copy_only=False)
+        rows = self._distinct(distinct, alpha, odd)
+        whole: dict[int, np.ndarray] = {}
+        if odd.any():
+            for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[at]), "right") - 1).tolist():
+                if _AMBIGUOUS.search(x := texts[i].as_py()):
+                    whole[i] = self._ids(self.tokenizer, [x])[0]
+        rows = rows.extended([*firsts, *whole.values(), np.zeros(0, self.kind)])
+        at[bounds[:-1]] = len(distinct) + np.arange(len(firsts))
+        for k, i in enumerate(whole):
+            at[bounds[i] : bounds[i + 1]] = len(rows.sizes) - 1  # nothing
+            at[bounds[i]] = len(distinct) + len(firsts) + k
+        ends = np.concatenate(([0], np.cumsum(rows.sizes[at])))
+        return rows.gather(at), ends[bounds[1:]] - ends[bounds[:-1]]
+
+
+def _sizes(parts: list[np.ndarray]) -> np.ndarray:
+    return np.array([len(x) for x in parts], np.int64)
+
+
+class Rows:
+    """Ids in rows of different sizes."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
+
+    def extended(self, more: list[np.ndarray]) -> "Rows":
+        return Rows(np.concatenate([self.flat, *more]), np.concatenate((self.sizes, _sizes(more))))
+
+    def gather(self, rows: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        """The ids of the given rows, one after another; a step at a time, since the places take 8 bytes an id."""
+        parts = [self.flat[:0]]
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            sizes = self.sizes[some]
+            places = np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes)
+            places += np.arange(len(places))
+            parts.append(self.flat[places])
+        return np.concatenate(parts)
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, kept between tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_wavelet(ids: np.ndarray, doc_ids: list, n_tokens: list[int], bits: int) -> bytes:
@@ -216,6 +296,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], model.kind)
         held, n = [], 0
 
         def flush():
@@ -228,15 +309,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(keys), 512):
-                encoded = model.encode([x or "" for x in texts.slice(at, 512).to_pylist()])
-                for key, ids in zip(keys[at : at + 512], encoded):
-                    ids = np.append(ids.astype(np.uint16 if model.bits <= 16 else np.uint32), end_id).astype(np.uint16 if model.bits <= 16 else np.uint32)
-                    if held and n + len(ids) > shard_tokens:
+            keys, texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
+            slices = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(slices)) + 1, [len(keys)])).tolist()
+            for low, high in zip(starts, starts[1:]):
+                ids, sizes = model.encode(texts.slice(low, high - low))
+                for key, own in zip(keys[low:high], np.split(ids, np.cumsum(sizes)[:-1])):
+                    if held and n + len(own) + 1 > shard_tokens:
                         yield flush()
-                    held.append((key, ids))
-                    n += len(ids)
+                    held.append((key, np.append(own, end)))
+                    n += len(own) + 1
         if held:
             yield flush()
 
