@@ -1 +1 @@
-"""See the package README."""
+"""Dataset operators: sampling, tiles, fetching, captions, provisioning, retrieval, models."""
