@@ -20,11 +20,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from skylattice.llm.arrow import map_batches
+from skylattice.storage import materialise
 
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, STEM = 6000, 4096, 15, 64, 5
 MIN_LOG_RATE = 1.1
@@ -44,18 +47,13 @@ def terms(text: str | None) -> Counter:
 class BlockMaxIndex:
     """TF-IDF vectors of examples with their votes; ``nearest`` is exact."""
 
-    def __init__(self, counts: list[dict[str, int]], toxic: list[int], ids: list, class_sizes: tuple[int, int]):
+    def __init__(self, vocabulary: list[tuple[str, float]], counts: list[dict[str, int]], toxic: list[int], ids: list, class_sizes: tuple[int, int]):
+        """vocabulary: terms with their inverse document frequency; counts: of these terms, for each example;
+        class_sizes: labelled documents of each class, of which the examples are a sample."""
         y = np.array(toxic, np.int64)
         sampled = np.bincount(y, minlength=2)
-        df = [Counter(), Counter()]
-        for c, t in {(frozenset(c.items()), t): (c, t) for c, t in zip(counts, toxic)}.values():  # copies count once
-            df[t].update(c.keys())
-        log_rate = {t: np.log((n + 0.5) / (sampled[1] + 1) / ((df[0][t] + 0.5) / (sampled[0] + 1))) for t, n in df[1].items() if n >= 3}
-        # the lower end of an interval of two standard errors: a few chance occurrences don't make a term
-        least = {t: r - 2 * np.sqrt(1 / (df[1][t] + 0.5) + 1 / (df[0][t] + 0.5)) for t, r in log_rate.items()}
-        chosen = sorted((t for t, r in least.items() if r > MIN_LOG_RATE), key=lambda t: (-df[1][t] * log_rate[t], t))[:MAX_TERMS]
-        self.vocabulary = {t: i for i, t in enumerate(chosen)}
-        self.idf = np.array([np.log((1 + len(y)) / (1 + df[0][t] + df[1][t])) + 1 for t in chosen])
+        self.vocabulary = {t: i for i, (t, _) in enumerate(vocabulary)}
+        self.idf = np.array([w for _, w in vocabulary])
         vectors = [self.vector(c) for c in counts]
         # examples of the same leading term lie in the same blocks, which keeps the upper bounds low
         lead = [int(v[0][v[1].argmax()]) if len(v[0]) else -1 for v in vectors]
@@ -65,7 +63,7 @@ class BlockMaxIndex:
         without = np.array([x < 0 for x in lead], bool)
         self.base = float((weights * y)[without].sum() / max(1e-9, weights[without].sum())) if len(y) else 0.0
         self.n_blocks = -(-len(order) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in chosen]
+        postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
         for at, i in enumerate(order):
             for t, w in zip(*vectors[i]):
                 postings[t].append((at, w))
@@ -160,12 +158,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * max_examples rows at most
     counted = map_batches(examples, run, f"doc_id {kind}, toxic int, terms array<string>, counts array<int>")
-    rows = sorted({r["doc_id"]: r for r in counted.toLocalIterator()}.values(), key=lambda r: r["doc_id"])  # one text for an id
-    return BlockMaxIndex([dict(zip(r["terms"], r["counts"])) for r in rows], [r["toxic"] for r in rows], [r["doc_id"] for r in rows], (sizes.get(0, 0), sizes.get(1, 0)))
+    counted = counted.withColumn("sig", F.xxhash64(F.array_sort(F.arrays_zip("terms", "counts"))))
+    counted = materialise(counted.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("sig"))).where("nth = 1").drop("nth"), "examples")  # one text for an id
+    n = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    vocabulary = [(r["term"], r["idf"]) for r in choose_terms(counted, n.get(0, 0), n.get(1, 0)).collect()]  # MAX_TERMS at most
+    known = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t, _ in vocabulary], "term string"))
+    found = counted.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "x.counts", F.col("x.terms").alias("term")).join(known, "term")
+    counts: dict = {}
+    for r in found.toLocalIterator():
+        counts.setdefault(r["doc_id"], {})[r["term"]] = r["counts"]
+    rows = sorted(((r["doc_id"], r["toxic"]) for r in counted.select("doc_id", "toxic").collect()))
+    return BlockMaxIndex(vocabulary, [counts.get(i, {}) for i, _ in rows], [t for _, t in rows], [i for i, _ in rows], (sizes.get(0, 0), sizes.get(1, 0)))
+
+
+def choose_terms(counted: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
+    """Terms that point to toxic examples, with their inverse document frequency: those whose log ratio of rates is over
+    MIN_LOG_RATE by two standard errors, so that a few chance occurrences don't make a term. Copies count once."""
+    terms = counted.dropDuplicates(["toxic", "sig"]).select("toxic", F.explode("terms").alias("term"))
+    df = terms.groupBy("term").agg(*(F.count_if(F.col("toxic") == t).alias(f"df{t}") for t in (0, 1))).where("df1 >= 3")
+    log_rate = F.log((F.col("df1") + 0.5) / (n_toxic + 1) / ((F.col("df0") + 0.5) / (n_clean + 1)))
+    error = F.sqrt(1 / (F.col("df1") + 0.5) + 1 / (F.col("df0") + 0.5))
+    idf = F.log(F.lit(1 + n_clean + n_toxic) / (1 + F.col("df0") + F.col("df1"))) + 1
+    ranked = df.withColumn("log_rate", log_rate).where(F.col("log_rate") - 2 * error > MIN_LOG_RATE)
+    return ranked.orderBy(-(F.col("df1") * F.col("log_rate")), "term").limit(MAX_TERMS).select("term", idf.alias("idf"))
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, evidence: bool = True) -> DataFrame:
-    """``docs`` with toxic_score and, on request, toxic_evidence: the ids and cosines of the nearest examples."""
+    """``docs`` with toxic_score and, on request, toxic_evidence: the ids and cosines of the nearest examples. Columns of
+    these names are replaced."""
+    docs = docs.drop("toxic_score", "toxic_evidence")
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES and MAX_TERMS
 
     def run(batch):
@@ -180,6 +201,18 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, evidence: bool = True)
     return map_batches(docs, run, schema)
 
 
+def reject_toxic(docs: DataFrame, index: BlockMaxIndex, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batch):
+        model = shared.value
+        clean = batch.filter(pa.array([model.score(terms(x))[0] < threshold for x in batch.column("text").to_pylist()], pa.bool_()))
+        return dict(zip(clean.schema.names, clean.columns))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -24,10 +24,9 @@ def corpus(n=600, seed=1):
     return rows, labels
 
 
-def test_nearest_equals_a_full_scan():
+def test_nearest_equals_a_full_scan(spark):
     rows, labels = corpus()
-    texts = dict(rows)
-    index = t.BlockMaxIndex([t.terms(texts[i]) for i, _ in labels], [y for _, y in labels], [i for i, _ in labels], (240, 60))
+    index = t.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     n = len(index.toxic)
     dense = np.zeros((n, len(index.vocabulary)))
     for term, (at, w) in enumerate(index.postings):
