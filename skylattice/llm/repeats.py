@@ -248,10 +248,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
     table = materialise(_anchor_table(docs, length, gram), "anchors")
     grams = materialise(table.groupBy("khash").agg(F.count("*").alias("n"), (F.min("chash") == F.max("chash")).alias("uniform")).where("n > 1").drop("n"), "grams")
     drop_shuffles(spark)
+    # written before it is grouped: a join with nothing above it is one whose frequent keys Spark can split
+    occurring = materialise(table.join(grams, "khash"), "occurring-anchors")
+    release(table)
     # equal texts share their anchors from here on: n counts the occurrences
-    found = table.join(grams, "khash").groupBy("khash", "t1", "t2", "a", "o2", "r", "chash", "uniform").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    found = occurring.groupBy("khash", "t1", "t2", "a", "o2", "r", "chash", "uniform").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     found = materialise(found, "repeated-anchors")
-    release(table)
+    release(occurring)
     drop_shuffles(spark)
     span = lambda left, right: F.struct((F.col("a") - left).alias("start"), (F.col("a") + right).alias("stop")).alias("span")
     mixed = found.where(~F.col("uniform"))
