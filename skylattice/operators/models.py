@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType, IntegerType
 
 # Channel means and deviations of the image normalisation.
 CLIP_MEAN = (0.48145466, 0.4578275, 0.40821073)
@@ -70,13 +71,22 @@ def encode(rows: DataFrame, column: str, encoder: Callable[[], Callable[[list],
                     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 yield part.assign(**{out: list(x)})
 
-    return rows.mapInPandas(run, type(rows.schema)([*rows.schema.fields]).add(out, _floats()))
+    return rows.mapInPandas(run, type(rows.schema)([*rows.schema.fields]).add(out, ArrayType(FloatType())))
 
 
-def _floats():
-    from pyspark.sql.types import ArrayType, FloatType
+def tokenise(rows: DataFrame, column: str, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], context: int = 256, pad: int = 0, batch_size: int = 64) -> DataFrame:
+    """``rows`` with token ids of ``column``, cut at the context length and padded to the longest of their batch."""
 
-    return ArrayType(FloatType())
+    def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        model = tokenizer()
+        for frame in frames:
+            for at in range(0, len(frame), batch_size):
+                part = frame.iloc[at : at + batch_size]
+                ids = [list(x)[:context] for x in model(part[column].tolist())]
+                longest = max(map(len, ids), default=0)
+                yield part.assign(token_ids=[x + [pad] * (longest - len(x)) for x in ids])
+
+    return rows.mapInPandas(run, type(rows.schema)([*rows.schema.fields]).add("token_ids", ArrayType(IntegerType())))
 
 
 def detect(rows: DataFrame, detector: Callable[[list[str] | None], Callable[[bytes], list[tuple]]], classes: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -65,6 +65,12 @@ def sample_in_region(cells: DataFrame, region: Column, total: int, seed: str = "
     return ranked.join(first, "cell_id").select("cell_id", (F.col("first") + F.col("nth") - 1).alias("seq"), "lon", "lat")
 
 
+def sample_unstratified(spark: SparkSession, region: Column, total: int, seed: str = "0") -> DataFrame:
+    """Points (seq, lon, lat) uniform in degrees inside the region: one cell, its box."""
+    cell = spark.range(1).select(F.lit(0).alias("cell_id"), geo.bounds(region).alias("b")).select("cell_id", "b.*")
+    return sample_in_region(cell, region, total, seed).drop("cell_id")
+
+
 def split_multi(points: DataFrame, key: str, seed: str = "split") -> DataFrame:
     """Points with is_multi_group: exactly floor(0.4 n) of them, in random order; ``place`` is the order of requests,
     singles first."""

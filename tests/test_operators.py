@@ -37,6 +37,12 @@ def test_sampling_is_exact_balanced_and_repeatable(spark):
     assert sorted(r["count"] for r in even) == [2, 2, 3, 3]
 
 
+def test_unstratified_sampling(spark):
+    triangle = [[[0.0, 0.0], [4.0, 0.0], [0.0, 4.0], [0.0, 0.0]]]
+    got = sampling.sample_unstratified(spark, geo_files.region_literal([triangle]), 200).collect()
+    assert sorted(r.seq for r in got) == list(range(200)) and all(r.lon > 0 and r.lat > 0 and r.lon + r.lat < 4 for r in got)
+
+
 def test_sampling_fails_where_no_cell_overlaps(spark):
     far = [[[x + 100, y] for x, y in SQUARE[0]]]
     with pytest.raises(ValueError):
@@ -279,6 +285,8 @@ def test_models(spark):
     df = spark.createDataFrame([(1, b"ab"), (2, b"c")], "id long, image_bytes binary")
     vec = models.encode(df, "image_bytes", lambda: lambda xs: np.array([[len(x), 1.0] for x in xs])).collect()
     assert np.allclose(np.linalg.norm([list(r.vec) for r in vec], axis=1), 1)
+    ids = models.tokenise(spark.createDataFrame([(1, "a b c"), (2, "a")], "id int, t string"), "t", lambda: lambda xs: [[len(w) for w in x.split()] for x in xs], context=2).collect()
+    assert sorted(list(r.token_ids) for r in ids) == [[1, 0], [1, 1]] or sorted(len(r.token_ids) for r in ids) == [1, 2]
     found = models.detect(df, lambda classes: lambda content: [(classes[0], 0.5, 0.0, 0.0, 1.0, float(len(content)))], ["roof"]).collect()
     assert sorted((r.id, r.cls, r.y1) for r in found) == [(1, "roof", 2.0), (2, "roof", 1.0)]
 
