@@ -53,6 +53,12 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def partitions_for(df: DataFrame, partition_bytes: int = 128 << 20) -> int:
+    """Partitions for a shuffle whose number is fixed by hand: the session's, or more where the plan's size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, -(-size // partition_bytes)))
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = 200_000) -> bool:
     """Whether a table (materialised, or cheap to count) has so few rows that it may be broadcast."""
     return df.limit(max_rows + 1).count() <= max_rows
