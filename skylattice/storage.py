@@ -55,7 +55,7 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 def partitions_for(df: DataFrame, partition_bytes: int = 128 << 20) -> int:
     """Partitions for a shuffle whose number is fixed by hand: the session's, or more where the plan's size asks for it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, -(-size // partition_bytes)))
 
 
