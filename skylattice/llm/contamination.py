@@ -32,7 +32,7 @@ SIMILARITY, WINDOW, MIN_WORDS = 0.8, 20, 5
 BLOCK_BYTES = 4 << 20
 BITMAP_BITS = 23
 CHUNK = 1 << 16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(5)], np.uint64)
 _MASK_SALT = np.array([xxhash.xxh64_intdigest(f"mask {i}") for i in range(len(MASKS))], np.uint64)
@@ -183,3 +183,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def op8_spaced_seeds(spark, sf_dir):
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE_SQL = {
+    "op8_spaced_seeds": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS iid, item_id, w, len(w) AS n, least({WINDOW}, len(w)) AS k FROM (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= {MIN_WORDS}),
+x AS (SELECT rid, len(w) AS nd, unnest(w) AS word, unnest(range(len(w))) AS dp FROM d),
+y AS (SELECT iid, n, k, unnest(w) AS word, unnest(range(n)) AS ip FROM i),
+m AS (SELECT rid, iid, dp - ip AS g, any_value(nd) AS nd, any_value(n) AS n, any_value(k) AS k, list(ip) AS hits FROM x JOIN y USING (word) GROUP BY ALL HAVING count(*) >= {SIMILARITY} * any_value(k) - 1e-9),
+s AS (SELECT m.*, unnest(range(greatest(0, -g), least(n, nd - g) - k + 1)) AS start FROM m),
+f AS (SELECT rid, iid, g, any_value(hits) AS hits, min(start) AS first, max(start) + any_value(k) AS last FROM s
+      WHERE len(list_filter(hits, lambda p: p >= start AND p < start + k)) >= CASE WHEN n = {MIN_WORDS} THEN n ELSE {SIMILARITY} * k - 1e-9 END GROUP BY rid, iid, g),
+e AS (SELECT *, len(list_filter(hits, lambda p: p >= first AND p < last)) AS n_equal FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY rid, iid ORDER BY n_equal DESC, g) AS r FROM e)
+SELECT doc_id, item_id, (first + g)::BIGINT AS first_word, (last - first)::BIGINT AS n_words, n_equal::BIGINT AS n_equal, n_equal / (last - first) AS similarity
+FROM b JOIN d USING (rid) JOIN i USING (iid) WHERE r = 1""",
+}

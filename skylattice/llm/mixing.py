@@ -7,7 +7,7 @@ Each source has a schedule of its rate over the training time 0 to 1 (piecewise
 cumulative demand; inverting it at the words that come before a document gives the document's training position in
 each pass. Documents are sorted by range of their first position.
 
-The words before a document are a prefix sum in three steps, so that no task holds a whole source: sums of small
+The order by hash is that of 60 bits of an MD5 of id and text. The words before a document are a prefix sum in three steps, so that no task holds a whole source: sums of small
 hash ranges, sums of coarse ranges over those, and a window in each small range.
 
 Null text: size 0. Null source: a source of its own, the last. Documents of size 0 are never taken and have no
@@ -29,6 +29,7 @@ MAX_REPEATS = 3
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)))
 RANGE_ROWS = 128
 COARSE_BITS = 10
+HASH_BITS = 60
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,6 +42,12 @@ def _size(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def _hash() -> Column:
+    """Where a document stands in its source: the same on every engine."""
+    text = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per source (``key``): source_size, n_docs, rank (from 0), target and budget (its words, a whole number).
 
@@ -78,10 +85,9 @@ def position(share: Column, schedule: tuple) -> Column:
 
 def _ranges(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Sizes with their source's row, and the small and coarse hash range of each document."""
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / RANGE_ROWS))).cast("int")
-    coarse = F.least("bits", F.lit(COARSE_BITS))
+    bits = F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n_docs") / RANGE_ROWS)))).cast("int")
     joined = join_small(sizes, targets.withColumn("bits", bits), "key")
-    return joined.withColumn("fine", F.when(F.col("bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)"))).withColumn("coarse", F.expr("shiftright(fine, bits - least(bits, %d))" % COARSE_BITS))
+    return joined.withColumn("fine", F.expr(f"shiftright(h, {HASH_BITS} - bits)")).withColumn("coarse", F.expr("shiftright(fine, bits - least(bits, %d))" % COARSE_BITS))
 
 
 def _placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -97,7 +103,7 @@ def _placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return materialise(docs.select("doc_id", _key().alias("key"), _size().alias("size"), F.xxhash64("doc_id", "text").alias("h")), "mix-sizes")
+    return materialise(docs.select("doc_id", _key().alias("key"), _size().alias("size"), _hash().alias("h")), "mix-sizes")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: tuple = SCHEDULES) -> DataFrame:
@@ -128,15 +134,46 @@ def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX
     targets = source_targets(sizes, weights, max_repeats)
     placed = _placed(sizes, targets).withColumn("passes", F.expr("if(source_size > 0, budget div source_size, 0)"))
     partly = 2 * (F.col("budget") - F.col("passes") * F.col("source_size") - F.col("before")) >= F.col("size")
-    ends = placed.groupBy("key").agg(F.max("passes").alias("passes"), F.max("bits").alias("bits"), F.max(F.when(partly & (F.col("size") > 0), F.struct("fine", "h"))).alias("end"))
-    ends = materialise(ends.select(F.struct("key", "passes", "bits", "end").alias("__mix"), F.col("key").alias("__mix_key")), "mix-ends")
-    marked = docs.withColumns({"__mix_key": _key(), "__mix_h": F.xxhash64("doc_id", "text"), "__mix_size": _size()})
+    ends = placed.groupBy("key").agg(F.max("passes").alias("passes"), F.max(F.when(partly & (F.col("size") > 0), F.col("h"))).alias("end"))
+    ends = materialise(ends.select(F.struct("passes", "end").alias("__mix"), F.col("key").alias("__mix_key")), "mix-ends")
+    marked = docs.withColumns({"__mix_key": _key(), "__mix_h": _hash(), "__mix_size": _size()})
     joined = join_small(marked, ends, "__mix_key")
-    fine = F.when(F.col("__mix.bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(__mix_h, 64 - __mix.bits)"))
-    more = F.coalesce(F.struct(fine.alias("fine"), F.col("__mix_h").alias("h")) <= F.col("__mix.end"), F.lit(False)).cast("int")
+    more = F.coalesce(F.col("__mix_h") <= F.col("__mix.end"), F.lit(False)).cast("int")
     copies = F.when(F.col("__mix_size") > 0, F.col("__mix.passes").cast("int") + more).otherwise(0)
     return joined.withColumn("__mix_copies", copies).where("__mix_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_pass")).drop("__mix_pass")
 
 
 def op1_mix_sources(spark, sf_dir):
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumns({"n_passes": F.size("positions").cast("long"), "position": F.round(F.get("positions", F.lit(0)), 6)}).drop("positions")
+
+
+def _oracle() -> str:
+    def place(schedule: tuple) -> str:
+        cases, area = [], 0.0
+        for (t0, r0), (t1, r1) in zip(schedule, schedule[1:]):
+            rest = f"(q * total_area - {area})"
+            cases.insert(0, f"WHEN q * total_area >= {area} THEN {t0} + CASE WHEN {rest} <= 0 THEN 0 ELSE 2 * {rest} / ({r0} + sqrt(greatest(0, {r0 * r0} + 2 * {(r1 - r0) / (t1 - t0)} * {rest}))) END")
+            area += (r0 + r1) / 2 * (t1 - t0)
+        return "least(1.0::DOUBLE, CASE " + " ".join(c.replace("total_area", str(area)) for c in cases) + " END)"
+
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+    at = " ".join(f"WHEN {i} THEN {place(s)}" for i, s in enumerate(SCHEDULES))
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, {HASH_BITS // 4}))::BIGINT AS h FROM documents),
+s AS (SELECT key, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY key) - 1 AS rank FROM d GROUP BY key),
+w AS (SELECT *, (CASE rank % {len(WEIGHTS)} {weight} END)::DOUBLE AS weight FROM s),
+r AS (SELECT *, {MAX_REPEATS} * source_size / weight AS lim, sum(source_size) OVER () - coalesce(sum({MAX_REPEATS} * source_size) OVER o, 0) AS left_over, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS left_weight
+  FROM w WINDOW o AS (ORDER BY {MAX_REPEATS} * source_size / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(left_over / left_weight, (lim, key)) AS fair FROM r WHERE left_over / left_weight <= lim),
+t AS (SELECT key, source_size, rank, least(({MAX_REPEATS} * source_size)::DOUBLE, coalesce(fair * weight, ({MAX_REPEATS} * source_size)::DOUBLE)) AS target FROM r, f),
+b AS (SELECT d.*, source_size, rank, target, round(target)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY key ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t USING (key)),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM b),
+l AS (SELECT *, least(size, greatest(0, budget - passes * source_size - before)) AS last, before / budget AS q FROM p),
+n AS (SELECT *, CASE WHEN size > 0 THEN passes + (last > 0)::BIGINT ELSE 0 END AS n_passes FROM l)
+SELECT doc_id, size, source_size, target, (passes * size + last)::BIGINT AS taken, n_passes::BIGINT AS n_passes,
+  round(CASE WHEN n_passes > 0 THEN CASE rank % {len(SCHEDULES)} {at} END END, 6) AS position FROM n"""
+
+
+ORACLE_SQL = {"op1_mix_sources": _oracle()}

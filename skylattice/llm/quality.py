@@ -113,4 +113,40 @@ def quality_rules(docs: DataFrame, spread: float = 3.0, min_group: int = 200) ->
 
 def op2_quality_rules(spark, sf_dir):
     found = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+def _oracle(spread: float = 3.0, min_group: int = 200) -> str:
+    blank, keys = r"[^\x20\x09-\x0D]", "coalesce('=' || lang, '') AS kl, coalesce('=' || source, '') AS ks"
+    value = f"CASE WHEN {{0}} = 0 THEN 0.0::DOUBLE ELSE pow({BIN_WIDTH}::DOUBLE, {{0}} - 0.5) / 1000 END"
+    least = "CASE ratio " + " ".join(f"WHEN '{n}' THEN {w}::DOUBLE" for n, (_, w, _) in RATIOS.items()) + " END"
+
+    def fences(keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""(SELECT {by}ratio, total AS size, {value.format("b1")} AS q1, {value.format("b3")} AS q3 FROM (
+  SELECT {by}ratio, any_value(total) AS total, min(bin) FILTER (cum >= 0.25 * total) AS b1, min(bin) FILTER (cum >= 0.75 * total) AS b3 FROM (
+    SELECT {by}ratio, bin, sum(n) OVER (PARTITION BY {by}ratio ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY {by}ratio) AS total FROM (
+      SELECT {by}ratio, bin, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY ALL))"""
+
+    out = lambda n, both: f"(v{n} > h{n}" + (f" OR v{n} < l{n})" if both else ")")
+    failed = "coalesce(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {out(n, both)} THEN '{n}' END" for n, (_, _, both) in RATIOS.items()) + "], lambda x: x IS NOT NULL), ','), '')"
+    sides = ", ".join(f"max(q1 - width) FILTER (ratio = '{n}') AS l{n}, max(q3 + width) FILTER (ratio = '{n}') AS h{n}" for n in RATIOS)
+    return f"""
+WITH t AS (SELECT doc_id, {keys}, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{blank}+') AS w FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t))),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g, range(3) AS o(j) WHERE n > 1 GROUP BY doc_id),
+s AS (SELECT doc_id, kl, ks, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{blank}')) AS l FROM t) LEFT JOIN r USING (doc_id)),
+v AS (SELECT s.*, {", ".join(f"CASE WHEN n_words > 0 THEN {c} / n_words END AS v{n}" for n, (c, _, _) in RATIOS.items())} FROM s),
+k AS (SELECT kl, ks, ratio, CASE WHEN x < 0.001 THEN 0 ELSE 1 + floor(ln(x * 1000) / ln({BIN_WIDTH}::DOUBLE)) END::INTEGER AS bin, count(*) AS n
+  FROM ({" UNION ALL ".join(f"SELECT kl, ks, '{n}' AS ratio, v{n} AS x FROM v WHERE n_words > 0" for n in RATIOS)}) GROUP BY ALL),
+f AS (SELECT kl, ks, {sides} FROM (SELECT kl, ks, ratio, q1, q3, greatest({spread} * (q3 - q1), {least}) AS width FROM (
+  SELECT a.kl, a.ks, ratio, {", ".join(f"CASE WHEN a.size >= {min_group} THEN a.{q} WHEN b.size >= {min_group} THEN b.{q} ELSE c.{q} END AS {q}" for q in ("q1", "q3"))}
+  FROM {fences("kl, ks")} a JOIN {fences("kl")} b USING (kl, ratio) JOIN {fences("")} c USING (ratio))) GROUP BY ALL),
+d AS (SELECT v.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, CASE WHEN n_words > 0 THEN {failed} ELSE '' END AS failed FROM v LEFT JOIN f USING (kl, ks))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM d"""
+
+
+ORACLE_SQL = {"op2_quality_rules": _oracle()}

@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from skylattice.llm import quotes, sharding
+from skylattice.llm import contamination, mixing, quality, quotes, repeats, sharding
 from skylattice.llm.contamination import op8_spaced_seeds
 from skylattice.llm.language import op7_language_id
 from skylattice.llm.mixing import op1_mix_sources
@@ -13,4 +13,6 @@ from skylattice.llm.tokens import op5_wavelet_tokens
 from skylattice.llm.toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quote_links, op4_extendible_shards, op5_wavelet_tokens, op6_simhash, op7_language_id, op8_spaced_seeds, op9_repeats, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {**quotes.ORACLE_SQL, **sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {}
+for module in (mixing, quality, quotes, sharding, contamination, repeats):
+    ORACLE_SQL |= module.ORACLE_SQL
