@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 The index is fitted on a bounded sample of the labelled rows: at most ``MAX_EXAMPLES`` of each class, those of the
-smallest hash of their id. Terms are lower-cased words and their first five letters; of these, the index keeps the
+smallest hash of their id. Terms are lower-cased words and their first letters; of these, the index keeps the
 ``MAX_TERMS`` that point most to toxic examples. A document is compared with the examples by cosine of TF-IDF vectors
-over these terms. Examples lie in blocks, and each term keeps its largest weight in each block: blocks are visited by
+over these terms and one that stands for all words. Examples lie in blocks, and each term keeps its largest weight in each block: blocks are visited by
 descending upper bound until no other can hold one of the ``NEIGHBOURS`` nearest, so the result equals a full scan.
 The neighbours vote, weighted by squared cosine and by the share of their class that was sampled. The votes are
 calibrated on the examples themselves, each scored without itself (monotone regression). A document without any of
@@ -29,18 +29,25 @@ from pyspark.sql.window import Window as W
 from skylattice.llm.arrow import map_batches
 from skylattice.storage import materialise
 
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK, STEM = 6000, 4096, 15, 64, 5
-MIN_LOG_RATE = 1.1
+MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 6000, 4096, 15, 64
+#: Letters of a word's beginning that are terms as well.
+STEMS = (4, 5)
+#: The entry that counts all words of a text, and its weight.
+OTHER, OTHER_WEIGHT = "", 1.0
+MIN_LOG_RATE, STANDARD_ERRORS = 1.1, 1.5
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str | None) -> Counter:
-    """Counts of the words of a text, and of their stems (marked by a star)."""
+    """Counts of the words of a text, of their stems (marked by a star), and of all words together."""
     found = Counter(_WORD.findall(text.lower())) if text else Counter()
+    words = found.total()
     for word, n in list(found.items()):
-        if len(word) > STEM:
-            found[word[:STEM] + "*"] += n
+        for k in STEMS:
+            if len(word) > k:
+                found[word[:k] + "*"] += n
+    found[OTHER] = words
     return found
 
 
@@ -64,9 +71,12 @@ class BlockMaxIndex:
         self.base = float((weights * y)[without].sum() / max(1e-9, weights[without].sum())) if len(y) else 0.0
         self.n_blocks = -(-len(order) // BLOCK)
         postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
+        self.other = np.zeros(self.n_blocks * BLOCK)
         for at, i in enumerate(order):
-            for t, w in zip(*vectors[i]):
+            self.other[at] = vectors[i][2]
+            for t, w in zip(*vectors[i][:2]):
                 postings[t].append((at, w))
+        self.other_most = self.other.reshape(-1, BLOCK).max(axis=1) if len(order) else self.other
         self.postings, self.blocks = [], []
         for p in postings:
             at, w = np.array([x[0] for x in p], np.int64), np.array([x[1] for x in p])
@@ -88,26 +98,30 @@ class BlockMaxIndex:
                 merged[-1] = [a + b for a, b in zip(merged[-1], last)]
         return np.array([m[0] / m[2] for m in merged]), np.array([m[1] / m[2] for m in merged])
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Terms, their weights, and the weight of all other words taken as one term: a few chance terms in a long text
+        then differ from the same terms in a short one. Without any term of the vocabulary, nothing."""
         found = [(self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary]
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0), 0.0
         t, n = np.array(sorted(found)).T
         w = (1 + np.log(n)) * self.idf[t]
-        return t, w / np.sqrt(w @ w)
+        other = OTHER_WEIGHT * np.log1p(counts.get(OTHER, 0))
+        length = np.sqrt(w @ w + other * other)
+        return t, w / length, float(other / length)
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray, float], skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine over 0."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in zip(*vector):
+        bound = vector[2] * self.other_most
+        for t, q in zip(*vector[:2]):
             blocks, _, most = self.blocks[t]
             bound[blocks] += q * most
         places, scores, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(places) >= k and bound[b] < kth - 1e-12:
                 break
-            local = np.zeros(BLOCK)
-            for t, q in zip(*vector):
+            local = vector[2] * self.other[b * BLOCK : (b + 1) * BLOCK]
+            for t, q in zip(*vector[:2]):
                 blocks, first, _ = self.blocks[t]
                 i = blocks.searchsorted(b)
                 if i < len(blocks) and blocks[i] == b:
@@ -124,7 +138,7 @@ class BlockMaxIndex:
         best = np.lexsort((places, -scores))
         return places[best], scores[best]
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, vector: tuple[np.ndarray, np.ndarray, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         places, cosines = self.nearest(vector, skip)
         if not len(places):
             return self.base, places, cosines
@@ -162,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     counted = materialise(counted.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("sig"))).where("nth = 1").drop("nth"), "examples")  # one text for an id
     n = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     vocabulary = [(r["term"], r["idf"]) for r in choose_terms(counted, n.get(0, 0), n.get(1, 0)).collect()]  # MAX_TERMS at most
-    known = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t, _ in vocabulary], "term string"))
+    known = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t, _ in [*vocabulary, (OTHER, 0.0)]], "term string"))
     found = counted.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "x.counts", F.col("x.terms").alias("term")).join(known, "term")
     counts: dict = {}
     for r in found.toLocalIterator():
@@ -173,13 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
 
 def choose_terms(counted: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
     """Terms that point to toxic examples, with their inverse document frequency: those whose log ratio of rates is over
-    MIN_LOG_RATE by two standard errors, so that a few chance occurrences don't make a term. Copies count once."""
+    MIN_LOG_RATE by STANDARD_ERRORS of them, so that a few chance occurrences don't make a term. Copies count once."""
     terms = counted.dropDuplicates(["toxic", "sig"]).select("toxic", F.explode("terms").alias("term"))
     df = terms.groupBy("term").agg(*(F.count_if(F.col("toxic") == t).alias(f"df{t}") for t in (0, 1))).where("df1 >= 3")
     log_rate = F.log((F.col("df1") + 0.5) / (n_toxic + 1) / ((F.col("df0") + 0.5) / (n_clean + 1)))
     error = F.sqrt(1 / (F.col("df1") + 0.5) + 1 / (F.col("df0") + 0.5))
     idf = F.log(F.lit(1 + n_clean + n_toxic) / (1 + F.col("df0") + F.col("df1"))) + 1
-    ranked = df.withColumn("log_rate", log_rate).where(F.col("log_rate") - 2 * error > MIN_LOG_RATE)
+    ranked = df.withColumn("log_rate", log_rate).where(F.col("term") != OTHER).where(F.col("log_rate") - STANDARD_ERRORS * error > MIN_LOG_RATE)
     return ranked.orderBy(-(F.col("df1") * F.col("log_rate")), "term").limit(MAX_TERMS).select("term", idf.alias("idf"))
 
 

@@ -28,7 +28,8 @@ def test_nearest_equals_a_full_scan(spark):
     rows, labels = corpus()
     index = t.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     n = len(index.toxic)
-    dense = np.zeros((n, len(index.vocabulary)))
+    dense = np.zeros((n, len(index.vocabulary) + 1))
+    dense[:, -1] = index.other[:n]
     for term, (at, w) in enumerate(index.postings):
         dense[at, term] = w
     assert n and np.allclose((dense**2).sum(axis=1), 1)
@@ -37,7 +38,7 @@ def test_nearest_equals_a_full_scan(spark):
         vector = index.vector(t.terms(text))
         if len(vector[0]):
             q = np.zeros(dense.shape[1])
-            q[vector[0]] = vector[1]
+            q[vector[0]], q[-1] = vector[1], vector[2]
             scores = dense @ q
             best = [i for i in np.lexsort((np.arange(n), -np.round(scores, 12))) if scores[i] > 0][: t.NEIGHBOURS]
             places, cosines = index.nearest(vector)
