@@ -231,7 +231,8 @@ def _partly_repeated(contexts: DataFrame, length: int, max_group: int) -> DataFr
         if found:
             whole = subs.where("n > 1").select(*_KEY, "sub")
             found.append(pieces.join(whole, [*_KEY, "sub"]).select("khash", "chash", F.col("o2").alias("left"), (length - F.col("o1")).alias("right")))
-        groups = subs.join(sizes.where(F.col("m") <= max_group), _KEY).groupBy(*_KEY).agg(F.collect_list(F.struct("sub", "o1", "o2", "position", "ctx")).alias("members"))
+        small = materialise(subs.join(sizes.where(F.col("m") <= max_group).select(*_KEY), _KEY), "small-groups")  # written, so that Spark can split the join
+        groups = small.groupBy(*_KEY).agg(F.collect_list(F.struct("sub", "o1", "o2", "position", "ctx")).alias("members"))
         solved = _solve(groups, length)
         found.append(pieces.join(solved, [*_KEY, "sub"]).select("khash", "chash", "left", "right"))
         large = sizes.where(F.col("m") > max_group).select(*_KEY)
@@ -299,3 +300,18 @@ def op9_repeats(spark, sf_dir):
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.col("n_bytes") - F.length("kept")
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = {
+    "op9_repeats": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT rid, p, md5(substr(hx, 2 * p + 1, {2 * LENGTH})) AS h FROM (SELECT rid, hx, unnest(range(0, n - {LENGTH} + 1)) AS p FROM d)),
+m AS (SELECT rid, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT rid, p, sum(gap) OVER (PARTITION BY rid ORDER BY p) AS run FROM (SELECT rid, p, coalesce(p > lag(p) OVER (PARTITION BY rid ORDER BY p) + {LENGTH}, false)::INTEGER AS gap FROM m)),
+r AS (SELECT rid, min(p) AS low, max(p) + {LENGTH} AS high FROM g GROUP BY rid, run),
+k AS (SELECT rid, low, high, coalesce(lag(high) OVER (PARTITION BY rid ORDER BY low), 0) AS last FROM r),
+s AS (SELECT rid, sum(high - low)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(substr(hx, 2 * last + 1, 2 * (low - last)), '' ORDER BY low) || substr(any_value(hx), 2 * max(high) + 1) AS kept
+      FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256
+FROM d LEFT JOIN s USING (rid)""",
+}
