@@ -120,15 +120,19 @@ def fingerprint_links(distinct: DataFrame, max_bucket: int = 128, levels=LEVELS)
     return found
 
 
-def near_duplicates(prints: DataFrame, max_bucket: int = 128) -> DataFrame:
-    """``prints`` (a stored table with doc_id and fp) with component_id, the smallest doc_id of its component."""
+def components_of(prints: DataFrame, max_bucket: int = 128) -> DataFrame:
+    """Rows (fp, component_id) for the fingerprints of a stored table with doc_id and fp."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = materialise(components(fingerprint_links(distinct.select("fp"), max_bucket), "u", "v"), "roots")
     grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     grouped = materialise(grouped, "grouped")
     ids = materialise(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    of_print = materialise(grouped.join(ids, "root").select("fp", "component_id"), "component-of")
-    return prints.join(of_print, "fp")
+    return materialise(grouped.join(ids, "root").select("fp", "component_id"), "component-of")
+
+
+def near_duplicates(prints: DataFrame, max_bucket: int = 128) -> DataFrame:
+    """``prints`` (a stored table with doc_id and fp) with component_id, the smallest doc_id of its component."""
+    return prints.join(components_of(prints, max_bucket), "fp")
 
 
 def deduplicate(docs: DataFrame, max_bucket: int = 128) -> DataFrame:
@@ -137,7 +141,7 @@ def deduplicate(docs: DataFrame, max_bucket: int = 128) -> DataFrame:
     marked = docs.withColumn("__text_hash", F.xxhash64("text"))
     prints = materialise(fingerprints(marked.select("doc_id", "text", "__text_hash")), "prints")
     same = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "__text_hash")).alias("first"))
-    labelled = near_duplicates(prints, max_bucket).select("fp", "component_id").distinct().join(same, "fp")
+    labelled = components_of(prints, max_bucket).join(same, "fp")
     kept = labelled.groupBy(F.coalesce("component_id", "fp").alias("c"), F.isnull("component_id").alias("no_id")).agg(F.min("first").alias("first")).select("first.*")
     kept = materialise(kept.select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")), "kept")
     rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
