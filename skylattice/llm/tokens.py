@@ -30,42 +30,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skylattice.llm.arrow import map_batches
-from skylattice.storage import join_small, materialise, new_path
+from skylattice.storage import join_small, materialise, new_path, partitions_for
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 BLOCK = 4096
-MARKS = ",.;:!?"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sIQQ")
-_AMBIGUOUS = re.compile(r"\s \s")
+_AMBIGUOUS = re.compile(r"\s\s(?:\s|\Z)")
 _encoders: dict[str, tuple] = {}
 
 
+class Rows:
+    """Ids in rows of different sizes."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None):
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes if starts is None else starts
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray], kind: np.dtype) -> Rows:
+        return cls(np.concatenate([np.zeros(0, kind), *parts]), np.array([len(x) for x in parts], np.int64))
+
+    @classmethod
+    def joined(cls, tables: list[Rows]) -> Rows:
+        base = np.cumsum([0, *(len(t.flat) for t in tables)])
+        return cls(np.concatenate([t.flat for t in tables]), np.concatenate([t.sizes for t in tables]), np.concatenate([t.starts + b for t, b in zip(tables, base)]))
+
+    def gather(self, rows: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        """The ids of the given rows, one after another; a step at a time, since the places take 8 bytes an id."""
+        parts = [self.flat[:0]]
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            sizes = self.sizes[some]
+            places = np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes)
+            places += np.arange(len(places))
+            parts.append(self.flat[places])
+        return np.concatenate(parts)
+
+
 class WordEncoder:
     """The tokenizers library, called once for each distinct word of a slice of texts.
 
-    A byte-level pre-tokenizer joins a space to what follows it and never looks across the boundary before such a space,
-    so a text can be encoded word by word, a word being what is between two spaces. The exception is a space with white
-    space on both sides: texts that have one are encoded as a whole. Words of letters alone are one piece, which a second
-    tokenizer with the same model takes as it is; in both, words are told apart by the ids that begin with a space."""
+    A byte-level pre-tokenizer joins a space to what follows it and looks across white space only within a run of it. So
+    a text can be encoded word by word, where words end before a space and before a line feed: the first kind gets its
+    space, the second begins with its line feed. Runs of three, and of two at the end of a text, are cut otherwise: texts
+    that have one are encoded as a whole. Words of letters alone are one piece, which a second tokenizer with the same
+    model takes as it is; marks after letters are a piece of their own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.by_piece = Tokenizer.from_file(path)
-        self.by_piece.encode_special_tokens = True
+        self.by_piece = Tokenizer(self.tokenizer.model)  # the same model, not a copy
         self.by_piece.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # how a byte-level vocabulary writes the bytes: printable ones as themselves, the others from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        space = self.letters[ord(" ")]
-        self.letters[ord(" ")] = " " + space
+        self.space = space = self.letters[ord(" ")]
+        self.letters[ord(" ")] = " "
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
         self.spaced = np.zeros(1 << self.bits, bool)
@@ -75,59 +102,82 @@ class WordEncoder:
     def _ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, tokenizer, words: pa.Array, spell) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids, and their number, of words that follow a space."""
-        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), 65536):
-            part = words.slice(at, 65536).to_pylist()
-            found = self._ids(tokenizer, [spell(" " + " ".join(part))])[0]
-            starts = np.flatnonzero(self.spaced[found])
-            if len(starts) != len(part):
-                raise ValueError("words can't be told apart in this vocabulary")
-            ids.append(found)
-            sizes.append(np.diff(np.append(starts, len(found))))
-        return ids, sizes
-
-    def _distinct(self, words: pa.Array, alpha: np.ndarray, odd: np.ndarray) -> "Rows":
-        """A row of ids for each distinct word that follows a space. Marks after letters are a piece of their own."""
-        core = pc.utf8_rtrim(words, MARKS)
-        marked = ~alpha & ~odd & pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
-        letters = core.filter(pa.array(alpha | marked)).dictionary_encode()
-        marks = pa.array([w[len(c) :] for w, c in zip(words.filter(pa.array(marked)).to_pylist(), core.filter(pa.array(marked)).to_pylist())], pa.string()).dictionary_encode()
-        others = words.filter(pa.array(~alpha & ~odd & ~marked))
-        by_piece = self._words(self.by_piece, letters.dictionary, lambda x: x.encode().decode("latin-1").translate(self.letters))
-        by_text = self._words(self.tokenizer, others, str)
-        strange = self._ids(self.tokenizer, [" " + x for x in words.filter(pa.array(odd)).to_pylist()])
-        ends = self._ids(self.tokenizer, marks.dictionary.to_pylist())
-        pieces = Rows(np.concatenate([*by_piece[0], *by_text[0], *strange, *ends]), np.concatenate([*by_piece[1], *by_text[1], _sizes(strange), _sizes(ends)]))
-        n_letters, n_others = len(letters.dictionary), len(others)
+    def _words(self, tokenizer, text: str, n: int, skip: int = 0) -> Rows:
+        """Rows of ids of n words in a text, each of which begins with a space; ``skip``: leave out so many first ids."""
+        found = self._ids(tokenizer, [text])[0] if n else np.zeros(0, self.kind)
+        starts = np.flatnonzero(self.spaced[found])
+        if len(starts) != n:
+            raise ValueError("words can't be told apart in this vocabulary")
+        return Rows(found, np.diff(np.append(starts, len(found))) - skip, starts + skip)
+
+    def _spelled(self, words: pa.Array) -> str:
+        """Words as the vocabulary writes them, with spaces between."""
+        return " ".join(words.to_pylist()).encode().decode("latin-1").translate(self.letters)
+
+    def _distinct(self, words: pa.Array, odd: np.ndarray) -> Rows:
+        """A row of ids for each distinct word."""
+        mask = lambda m: m.to_numpy(zero_copy_only=False)
+        line = ~odd & mask(pc.starts_with(words, "\n"))
+        bare = pc.if_else(pa.array(line), pc.utf8_slice_codeunits(words, 1), words)
+        core = pc.utf8_rtrim(bare, MARKS)
+        letters = mask(pc.utf8_is_alpha(core)) & ~odd
+        marked = letters & mask(pc.not_equal(core, bare))
+        spaced, after = core.filter(pa.array(letters & ~line)).dictionary_encode(), core.filter(pa.array(letters & line)).dictionary_encode()
+        ends = zip(bare.filter(pa.array(marked)).to_pylist(), pc.utf8_length(core.filter(pa.array(marked))).to_pylist())
+        marks = pa.array([w[n:] for w, n in ends], pa.string()).dictionary_encode()
+        others, strange = words.filter(pa.array(~letters & ~odd & ~line)), words.filter(pa.array(odd | line & ~letters))
+        own = [x if x.startswith("\n") else " " + x for x in strange.to_pylist()]
+        tables = [
+            self._words(self.by_piece, self._pieces(spaced.dictionary), len(spaced.dictionary)),
+            self._words(self.by_piece, self._apart(after.dictionary), len(after.dictionary), skip=1),
+            self._words(self.tokenizer, " " + " ".join(others.to_pylist()), len(others)),
+            Rows.of(self._ids(self.tokenizer, own), self.kind),
+            Rows.of(self._ids(self.tokenizer, marks.dictionary.to_pylist()), self.kind),
+            Rows.of(self._ids(self.tokenizer, ["\n"]), self.kind),
+        ]
+        base = np.cumsum([0, *(len(t.sizes) for t in tables)])
         first = np.zeros(len(words), np.int64)
-        first[alpha | marked] = letters.indices.to_numpy()
-        first[~alpha & ~odd & ~marked] = n_letters + np.arange(n_others)
-        first[odd] = n_letters + n_others + np.arange(len(strange))
-        parts, at = np.repeat(first, 1 + marked), np.cumsum(1 + marked) - 1
-        parts[at[marked]] = n_letters + n_others + len(strange) + marks.indices.to_numpy()
+        first[letters & ~line] = base[0] + spaced.indices.to_numpy()
+        first[letters & line] = base[1] + after.indices.to_numpy()
+        first[~letters & ~odd & ~line] = base[2] + np.arange(len(others))
+        first[odd | line & ~letters] = base[3] + np.arange(len(strange))
+        feed = letters & line
+        n_parts = 1 + feed.astype(np.int64) + marked
+        at = np.cumsum(n_parts) - n_parts
+        parts = np.repeat(first, n_parts)
+        parts[at[feed]] = base[5]
+        parts[at[marked] + feed[marked] + 1] = base[4] + marks.indices.to_numpy()
+        pieces = Rows.joined(tables)
         per_part = pieces.sizes[parts]
-        sizes = np.add.reduceat(per_part, at - marked) if len(words) else per_part
-        return Rows(pieces.gather(parts), sizes)
+        return Rows(pieces.gather(parts), np.add.reduceat(per_part, at) if len(words) else per_part)
+
+    def _pieces(self, words: pa.Array) -> str:
+        text = self._spelled(words)
+        return (self.space + text.replace(" ", " " + self.space)) if len(words) else ""
+
+    def _apart(self, words: pa.Array) -> str:
+        """Each after a piece that is a space alone, by which they are told apart."""
+        text = self._spelled(words)
+        return f"{self.space} {text.replace(' ', f' {self.space} ')}" if len(words) else ""
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the number of each."""
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         firsts = self._ids(self.tokenizer, lists.values.take(pa.array(bounds[:-1])).to_pylist())  # these follow no space
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
         distinct, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        alpha = pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False)
-        odd = ~alpha & pc.or_(pc.equal(distinct, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, 0, 1))).to_numpy(zero_copy_only=False)
-        rows = self._distinct(distinct, alpha, odd)
+        blank = lambda i: pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, i, i + 1)).to_numpy(zero_copy_only=False)
+        alone = pc.or_(pc.equal(distinct, ""), pc.equal(distinct, "\n")).to_numpy(zero_copy_only=False)
+        odd = alone | blank(0) & (blank(1) | ~pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False))
+        rows = self._distinct(distinct, odd)
         whole: dict[int, np.ndarray] = {}
         if odd.any():
             for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[at]), "right") - 1).tolist():
                 if _AMBIGUOUS.search(x := texts[i].as_py()):
                     whole[i] = self._ids(self.tokenizer, [x])[0]
-        rows = rows.extended([*firsts, *whole.values(), np.zeros(0, self.kind)])
+        rows = Rows.joined([rows, Rows.of([*firsts, *whole.values(), np.zeros(0, self.kind)], self.kind)])
         at[bounds[:-1]] = len(distinct) + np.arange(len(firsts))
         for k, i in enumerate(whole):
             at[bounds[i] : bounds[i + 1]] = len(rows.sizes) - 1  # nothing
@@ -136,31 +186,6 @@ class WordEncoder:
         return rows.gather(at), ends[bounds[1:]] - ends[bounds[:-1]]
 
 
-def _sizes(parts: list[np.ndarray]) -> np.ndarray:
-    return np.array([len(x) for x in parts], np.int64)
-
-
-class Rows:
-    """Ids in rows of different sizes."""
-
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
-        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
-
-    def extended(self, more: list[np.ndarray]) -> "Rows":
-        return Rows(np.concatenate([self.flat, *more]), np.concatenate((self.sizes, _sizes(more))))
-
-    def gather(self, rows: np.ndarray, step: int = 1 << 17) -> np.ndarray:
-        """The ids of the given rows, one after another; a step at a time, since the places take 8 bytes an id."""
-        parts = [self.flat[:0]]
-        for low in range(0, len(rows), step):
-            some = rows[low : low + step]
-            sizes = self.sizes[some]
-            places = np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes)
-            places += np.arange(len(places))
-            parts.append(self.flat[places])
-        return np.concatenate(parts)
-
-
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker, kept between tasks."""
     if path not in _encoders:
@@ -171,15 +196,17 @@ def encoder(path: str) -> WordEncoder:
 def write_wavelet(ids: np.ndarray, doc_ids: list, n_tokens: list[int], bits: int) -> bytes:
     """A shard file."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    planes, zeros, order = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    planes, zeros, order = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32, copy=True)
     for level in range(bits - 1, -1, -1):
-        ones = (order & order.dtype.type(1 << level)) != 0
-        starts = np.arange(0, len(ones), BLOCK)
-        ranks = np.concatenate(([0], np.cumsum(np.add.reduceat(ones, starts, dtype=np.int64)) if len(ones) else [])).astype("<u4")
-        planes.append(pack(ranks.tobytes() + np.packbits(ones, bitorder="little").tobytes()))
-        low = order[~ones]
+        ones = (order & order.dtype.type(1 << level)).astype(bool)
+        bits_of = np.packbits(ones, bitorder="little")
+        padded = np.zeros(-(-len(ones) // BLOCK) * BLOCK // 8, np.uint8)
+        padded[: len(bits_of)] = bits_of
+        ranks = np.cumsum(np.append(0, np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64))).astype("<u4")
+        planes.append(pack(ranks.tobytes() + bits_of.tobytes()))
+        low, high = order.compress(~ones), order.compress(ones)
         zeros.append(len(low))
-        order = np.concatenate((low, order[ones]))
+        order[: len(low)], order[len(low) :] = low, high
     null = np.array([x is None for x in doc_ids], np.uint8)
     docs = pack(null.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(n_tokens, "<i8").tobytes())
     sizes = np.array([len(docs), *map(len, planes)], "<u8")
@@ -270,8 +297,8 @@ class WaveletMatrix:
         for plane in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[plane], bitorder="little", count=self.n).view(bool)
             above, z = np.empty(self.n, kind), int(self.zeros[plane])
-            above[~ones] = out[:z]
-            above[ones] = out[z:] | kind(1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~ones)] = out[:z]  # places are set faster than masks
+            above[np.flatnonzero(ones)] = out[z:] | kind(1 << (self.bits - 1 - plane))
             out = above
         return out
 
@@ -325,7 +352,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"doc_id is {kind}; the file format has integer ids")
     order = ["doc_id", F.xxhash64("text")]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs.select("doc_id", "text"))
     ranged = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     return materialise(ranged.mapInArrow(run, "part int, shard int, name string, n_tokens long, n_docs long"), "shards")
 
