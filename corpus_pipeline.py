@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import contamination, mixing, simhash, tokens, toxicity
+from skylattice.llm import contamination, mixing, neardup, tokens, toxicity
 from skylattice.storage import materialise
 
 
@@ -19,8 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of Jaccard similarity 0.8 on five words stays, that of the smallest doc_id."""
+    return neardup.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
