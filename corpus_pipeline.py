@@ -6,6 +6,7 @@ of documents; the last returns the documents of the token files.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm import contamination, mixing, neardup, tokens, toxicity
@@ -29,13 +30,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass in which the mix takes a document."""
+    """A row for each pass in which the mix takes a document, in order of training position."""
     return mixing.mixed_rows(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and their documents as read back: doc_id, start, n_tokens, ids_crc32 and shard."""
-    return tokens.encode_corpus(docs, tokens.tokenizer_path())
+    """Token files of the mix in its order, and their documents as read back: doc_id, start, n_tokens, ids_crc32 and
+    shard. The order is that of the stored rows."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not read from files
+        docs = materialise(docs, "mixed")
+    return tokens.encode_corpus(docs, tokens.tokenizer_path(), stored_order=True)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from skylattice.storage import join_small, materialise
+from skylattice.storage import join_small, materialise, partitions_for
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -127,20 +127,27 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEAT
     return out.orderBy(first.asc_nulls_last(), "h", "doc_id").drop("h")
 
 
-def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: a row for each whole pass, and one more for documents of which the
-    last pass takes half or more. Texts aren't shuffled: a source's last pass ends at a place in its order by hash."""
+def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: tuple = SCHEDULES) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, sorted by range of training position: a row for each whole pass, and
+    one more for documents of which the last pass takes half or more. Rows equal in doc_id and text share positions."""
     sizes = _sizes(docs)
     targets = source_targets(sizes, weights, max_repeats)
-    placed = _placed(sizes, targets).withColumn("passes", F.expr("if(source_size > 0, budget div source_size, 0)"))
+    placed = materialise(_placed(sizes, targets).withColumn("passes", F.expr("if(source_size > 0, budget div source_size, 0)")), "mix-placed")
     partly = 2 * (F.col("budget") - F.col("passes") * F.col("source_size") - F.col("before")) >= F.col("size")
     ends = placed.groupBy("key").agg(F.max("passes").alias("passes"), F.max(F.when(partly & (F.col("size") > 0), F.col("h"))).alias("end"))
-    ends = materialise(ends.select(F.struct("passes", "end").alias("__mix"), F.col("key").alias("__mix_key")), "mix-ends")
-    marked = docs.withColumns({"__mix_key": _key(), "__mix_h": _hash(), "__mix_size": _size()})
-    joined = join_small(marked, ends, "__mix_key")
-    more = F.coalesce(F.col("__mix_h") <= F.col("__mix.end"), F.lit(False)).cast("int")
-    copies = F.when(F.col("__mix_size") > 0, F.col("__mix.passes").cast("int") + more).otherwise(0)
-    return joined.withColumn("__mix_copies", copies).where("__mix_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_pass")).drop("__mix_pass")
+    ends = materialise(ends.select("key", "end"), "mix-ends")
+    firsts = placed.where("size > 0").groupBy("key", "h", "doc_id").agg(F.min("before").alias("before"), *(F.first(c).alias(c) for c in ("passes", "source_size", "budget", "rank")))
+    more = F.coalesce(F.col("h") <= F.col("end"), F.lit(False)).cast("int")
+    taken = join_small(firsts, ends, "key").withColumn("copies", F.col("passes").cast("int") + more).where("copies > 0")
+    taken = materialise(taken.select(F.struct("copies", "before", "source_size", "budget", "rank").alias("__mix"), F.col("key").alias("__mix_key"), F.col("h").alias("__mix_h"), F.col("doc_id").alias("__mix_id")), "mix-taken")
+    marked = docs.withColumns({"__key": _key(), "__h": _hash()})
+    same = (F.col("__key") == F.col("__mix_key")) & (F.col("__h") == F.col("__mix_h")) & F.col("doc_id").eqNullSafe(F.col("__mix_id"))
+    rows = join_small(marked, taken, same).withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__mix.copies") - 1)))
+    share = (F.col("__pass") * F.col("__mix.source_size") + F.col("__mix.before")) / F.col("__mix.budget")
+    kind = F.pmod("__mix.rank", F.lit(len(schedules)))
+    rows = rows.withColumn("__position", F.coalesce(*(F.when(kind == i, position(share, x)) for i, x in enumerate(schedules))))
+    order = ["__position", "__h", "doc_id", "__pass"]
+    return rows.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir):

@@ -312,8 +312,9 @@ def put_file(folder: str, name: str, data: bytes, attempt: int) -> None:
     fs.move(f"{path}/.{name}.{attempt}.part", f"{path}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write the shard files of doc_id and text to a folder; one row per shard, in order of (part, shard): its file and size."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, stored_order: bool = False) -> DataFrame:
+    """Write the shard files of doc_id and text to a folder; one row per shard, in order of (part, shard): its file and
+    size. With ``stored_order``, ``docs`` are read from Parquet and keep the order of their files and rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -353,7 +354,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         raise ValueError(f"doc_id is {kind}; the file format has integer ids")
     order = ["doc_id", F.xxhash64("text")]
     n = partitions_for(docs.select("doc_id", "text"))
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kept = docs.select("doc_id", "text")
+    if stored_order:
+        file, order = F.col("_metadata.file_name"), ["__part", "__file", "__row"]
+        part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+        kept = docs.select("doc_id", "text", part.alias("__part"), file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    ranged = kept.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialise(ranged.mapInArrow(run, "part int, shard int, name string, n_tokens long, n_docs long"), "shards")
 
 
