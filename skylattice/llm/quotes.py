@@ -4,7 +4,8 @@ Lines that begin with ``>`` marks are quotations; the number of marks is their l
 time: the quoted blocks of a text lose one mark and are parsed again, until no marks are left. Each quoted line is
 normalised (lower case, letters and digits only) and hashed, and joined to the lines that the messages of the same
 conversation wrote themselves; of equal lines the earliest message counts as the original. The message that gave a
-quotation most of its lines is what it answers (the latest, of equally many), if it is earlier. Messages are ordered so
+quoted block most of its lines is the block's original (the latest, of equally many), if it is earlier. What a message
+answers is found likewise from all its quoted lines of the shallowest level at which any has an original. Messages are ordered so
 that a reply follows what it answers, by their path of turns from the first message of the thread.
 
 A message is a row of conv_id, turn, role and text; rows equal in all four give equal results. Lines with a colon that
@@ -39,16 +40,18 @@ def _lines(df: DataFrame, text: Column, *keep) -> DataFrame:
 
 
 def quotations(messages: DataFrame) -> DataFrame | None:
-    """Rows (conv_id, turn, m, level, block, text) of quoted blocks, less what they quote themselves; None if there are none."""
+    """Rows (conv_id, turn, m, level, block, text) of quoted blocks, less what they quote themselves; None if there are
+    none. A block is named by its number and those of the blocks around it, outermost first."""
     found, level = [], 1
-    left = messages.where(F.col("text").rlike(_BLOCK)).select("conv_id", "turn", "m", "text")
+    left = messages.where(F.col("text").rlike(_BLOCK)).select("conv_id", "turn", "m", F.array().cast("array<int>").alias("outer"), "text")
     while True:
-        blocks = left.select("conv_id", "turn", "m", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_BLOCK})"), 1)).alias("block", "text"))
+        blocks = left.select("conv_id", "turn", "m", "outer", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_BLOCK})"), 1)).alias("at", "text"))
+        blocks = blocks.select("conv_id", "turn", "m", F.concat("outer", F.array("at")).alias("block"), "text")
         inner = materialise(blocks.withColumn("text", F.regexp_replace("text", "(?m)" + _MARK, "")), "quotes")
         if not inner.limit(1).count():
             return None if not found else found[0] if len(found) == 1 else found[0].unionByName(_union(found[1:]))
         found.append(inner.select("conv_id", "turn", "m", F.lit(level).alias("level"), "block", _own(F.col("text")).alias("text")))
-        left, level = inner.where(F.col("text").rlike(_BLOCK)), level + 1
+        left, level = inner.where(F.col("text").rlike(_BLOCK)).withColumnRenamed("block", "outer"), level + 1
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -74,7 +77,9 @@ def _paths(messages: DataFrame, parents: DataFrame | None) -> DataFrame:
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message in reply order: conv_id, turn, role, text (its own), n_quotes, max_level, parent (the turn it
-    answers) and path."""
+    answers), path and quoted (level, block and original turn of each quoted block whose original is found)."""
+    turn_kind = messages.schema["turn"].dataType.simpleString()
+    kind = f"array<struct<level:int,block:array<int>,original:{turn_kind}>>"
     m = F.xxhash64("conv_id", "turn", "role", "text").alias("m")
     named = messages.select("conv_id", "turn", "role", "text", m)
     quoted = quotations(named)
@@ -82,24 +87,28 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     if quoted is not None:
         quoted = materialise(quoted, "quotations")
         counts = quoted.groupBy("m").agg(F.countDistinct("level", "block").alias("n_quotes"), F.max("level").alias("max_level"))
-        asked = _lines(quoted.where("level = 1"), F.col("text"), "conv_id", "turn", "m", "block").distinct()
+        asked = _lines(quoted, F.col("text"), "conv_id", "turn", "m", "level", "block").distinct()
         own = _lines(named.join(asked.select("conv_id").distinct(), "conv_id", "left_semi"), _own(F.col("text")), "conv_id", "turn")
-        originals = materialise(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent")), "original-lines")
-        votes = materialise(asked, "quoted-lines").join(originals, ["conv_id", "hash"]).where("parent < turn").groupBy("conv_id", "turn", "parent").agg(F.count("*").alias("n"))
-        parents = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent")).alias("best")).select("conv_id", "turn", F.col("best.parent").alias("parent"))
+        originals = materialise(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("original")), "original-lines")
+        given = materialise(materialise(asked, "quoted-lines").join(originals, ["conv_id", "hash"]).where("original < turn"), "given-lines")
+        best = lambda df, *by: df.groupBy(*by, "original").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max(F.struct("n", "original"))["original"].alias("original"))
+        blocks = best(given, "m", "level", "block")
+        sources = blocks.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("level", "block", "original"))).alias("quoted"))
+        counts = counts.join(sources, "m", "left")
+        parents = best(given, "conv_id", "turn", "level").groupBy("conv_id", "turn").agg(F.min(F.struct("level", "original"))["original"].alias("parent"))
     paths = materialise(_paths(named, parents), "paths").withColumnsRenamed({"conv_id": "c", "turn": "t"})
     out = named.join(paths, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")))
     if counts is not None:
         out = out.join(materialise(counts, "quote-counts"), "m", "left")
     else:
-        out = out.select("*", F.lit(None).cast("long").alias("n_quotes"), F.lit(None).cast("int").alias("max_level"))
+        out = out.select("*", F.lit(None).cast("long").alias("n_quotes"), F.lit(None).cast("int").alias("max_level"), F.lit(None).cast(kind).alias("quoted"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), _own(F.col("text"))).alias("text"), zero("n_quotes"), zero("max_level"), "parent", "path").orderBy("conv_id", "path", "turn", "role", "text")
+    return out.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), _own(F.col("text"))).alias("text"), zero("n_quotes"), zero("max_level"), "parent", "path", F.coalesce("quoted", F.array().cast(kind)).alias("quoted")).orderBy("conv_id", "path", "turn", "role", "text")
 
 
 def op3_quote_links(spark, sf_dir):
     found = link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return found.withColumn("path", F.array_join("path", "/", "?"))
+    return found.drop("quoted").withColumn("path", F.array_join("path", "/", "?"))
 
 
 #: The tables hold no line that begins with a mark: then every message starts a thread of its own and keeps its text.

@@ -42,3 +42,19 @@ def test_deep_chain_and_empty_table(spark):
     got = {g.turn: g for g in run(spark, rows)}
     assert list(got[7].path) == list(range(8))
     assert run(spark, rows[:0]) == []
+
+
+def test_deeper_levels_are_linked(spark):
+    rows = [
+        (1, 0, "u", "the original line"),
+        (1, 1, "u", "an answer to that"),
+        (1, 2, "u", ">> the original line\nanswered over two marks"),
+        (1, 3, "u", "> > the original line\n> an answer to that\nboth at once"),
+        (1, 4, "u", "> nobody said so\n>>> an answer to that\ndeeper"),
+        (1, 5, "u", "> an answer to that\n>> the original line\ntwice\n> both at once\n>> answered over two marks\n"),
+    ]
+    got = {g.turn: g for g in run(spark, rows)}
+    assert [got[t].parent for t in range(6)] == [None, None, 0, 1, 1, 3]
+    assert [sorted((q.level, q.original) for q in got[t].quoted) for t in range(6)] == [[], [], [(2, 0)], [(1, 1), (2, 0)], [(3, 1)], [(1, 1), (1, 3), (2, 0), (2, 2)]]
+    assert got[5].n_quotes == 4
+    assert list(got[2].path) == [0, 2]
