@@ -1,15 +1,17 @@
 """Conversations without quotations, by quotation linking, with DataFrame functions only.
 
-Lines that begin with ``>`` marks are quotations; the number of marks is their level. They are parsed a level at a
-time: the quoted blocks of a text lose one mark and are parsed again, until no marks are left. Each quoted line is
-normalised (lower case, letters and digits only) and hashed, and joined to the lines that the messages of the same
-conversation wrote themselves; of equal lines the earliest message counts as the original. The message that gave a
-quoted block most of its lines is the block's original (the latest, of equally many), if it is earlier. What a message
-answers is found likewise from all its quoted lines of the shallowest level at which any has an original. Messages are ordered so
-that a reply follows what it answers, by their path of turns from the first message of the thread.
+Lines that begin with ``>`` marks are quotations; the number of marks is their level. A run of neighbouring lines of one
+level is a passage. Each quoted line is normalised (lower case, letters and digits only) and hashed, and joined to the
+lines that the messages of the same conversation wrote themselves; of equal lines the earliest message counts as the
+original. The message that gave a passage most of its lines is the passage's original (the latest, of equally many), if
+it is earlier. What a message answers is found likewise from all its quoted lines of the shallowest level at which any
+has an original. Replies form threads, named by the turn of their first message; the thread and depth of each message
+come from doubling the steps towards it, so that a chain of n replies takes log2(n) joins. Messages are ordered by thread
+and turn: a reply follows what it answers.
 
 A message is a row of conv_id, turn, role and text; rows equal in all four give equal results. Lines with a colon that
-announce a quotation go with it. A null text has no lines; a null conversation or turn links to nothing. Extra columns
+announce a quotation go with it. A null text has no lines; a null conversation or turn links to nothing. A text of any
+number of lines or marks is one row until its lines are rows of their own: no step is recursive in either. Extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -17,104 +19,144 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from skylattice.storage import materialise
+from skylattice.storage import materialise, release
 
-_MARK = r"^[ \t]*>[ \t]?"
-_BLOCK = r"(?m)(?:^[ \t]*>[^\n]*(?:\n|\z))+"
-_INTRO = r"(?m)^[^\n>]{0,200}\b(?:wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n(?=[ \t]*>)"
+_QUOTED = r"(?m)^[ \t]*>"
+_MARKS = r"^[> \t]*"
+_INTRO = r"^[^>]{0,200}\b(?:wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
+_NOISE = r"[^\p{L}\p{N}]+"
 
 
-def _norm(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def _level(line: Column) -> Column:
+    marks = F.regexp_extract(line, _MARKS, 0)
+    return F.length(marks) - F.length(F.translate(marks, ">", ""))
 
 
-def _own(text: Column) -> Column:
-    """A text without its quoted blocks and the lines that announce them."""
-    return F.regexp_replace(F.regexp_replace(text, _INTRO, ""), _BLOCK, "")
+def _parsed(messages: DataFrame) -> DataFrame:
+    """Messages with ``lines``: the line, its level, and the levels of the lines before and after it. The arrays are
+    zipped outside any lambda, so that each is built once for a text."""
+    levels = F.transform("split", _level)
+    shifted = messages.withColumn("split", F.split("text", "\n")).withColumn("levels", levels)
+    ends = F.array(F.lit(0))
+    n = F.size("levels")
+    before = F.concat(ends, F.slice("levels", F.lit(1), n - 1))
+    after = F.concat(F.slice("levels", F.lit(2), n), ends)
+    zipped = F.arrays_zip(F.col("split").alias("line"), F.col("levels").alias("level"), before.alias("before"), after.alias("after"))
+    return shifted.withColumn("lines", zipped).drop("split", "levels")
 
 
-def _lines(df: DataFrame, text: Column, *keep) -> DataFrame:
-    found = df.select(*keep, F.explode(F.split(text, "\n")).alias("line")).withColumn("norm", _norm(F.col("line"))).where("norm <> ''")
-    return found.withColumn("hash", F.xxhash64("norm")).drop("line", "norm")
+def _is_own(x) -> Column:
+    """Neither quoted nor the line that announces a quotation."""
+    return (x["level"] == 0) & ~((x["after"] > 0) & x["line"].rlike(_INTRO))
 
 
-def quotations(messages: DataFrame) -> DataFrame | None:
-    """Rows (conv_id, turn, m, level, block, text) of quoted blocks, less what they quote themselves; None if there are
-    none. A block is named by its number and those of the blocks around it, outermost first."""
-    found, level = [], 1
-    left = messages.where(F.col("text").rlike(_BLOCK)).select("conv_id", "turn", "m", F.array().cast("array<int>").alias("outer"), "text")
-    while True:
-        blocks = left.select("conv_id", "turn", "m", "outer", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_BLOCK})"), 1)).alias("at", "text"))
-        blocks = blocks.select("conv_id", "turn", "m", F.concat("outer", F.array("at")).alias("block"), "text")
-        inner = materialise(blocks.withColumn("text", F.regexp_replace("text", "(?m)" + _MARK, "")), "quotes")
-        if not inner.limit(1).count():
-            return None if not found else found[0] if len(found) == 1 else found[0].unionByName(_union(found[1:]))
-        found.append(inner.select("conv_id", "turn", "m", F.lit(level).alias("level"), "block", _own(F.col("text")).alias("text")))
-        left, level = inner.where(F.col("text").rlike(_BLOCK)).withColumnRenamed("block", "outer"), level + 1
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(_union(parts[1:]))
-
-
-def _paths(messages: DataFrame, parents: DataFrame | None) -> DataFrame:
-    """Rows (conv_id, turn, parent, path): turns from the start of the thread. One round per level of replies."""
-    turns = messages.select("conv_id", "turn").distinct()
-    if parents is None:
-        return turns.select("*", F.lit(None).cast(turns.schema["turn"].dataType).alias("parent"), F.array("turn").alias("path"))
-    all_turns = materialise(turns.join(parents, ["conv_id", "turn"], "left"), "reply-parents")
-    done = materialise(all_turns.where("parent is null").select("*", F.array("turn").alias("path")), "reply-paths")
-    found = [done]
+def _own_text() -> Column:
+    return F.array_join(F.transform(F.filter("lines", _is_own), lambda x: x["line"]), "\n")
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Rows of lines with the hash of what they say; those that say nothing go."""
+    norm = F.trim(F.regexp_replace(F.lower("line"), _NOISE, " "))
+    return lines.withColumn("norm", norm).where("norm <> ''").withColumn("hash", F.xxhash64("norm")).drop("line", "norm")
+
+
+def _best(given: DataFrame, *by: str) -> DataFrame:
+    """The original that gave most lines, the latest of equally many."""
+    votes = given.groupBy(*by, "original").agg(F.count("*").alias("n"))
+    return votes.groupBy(*by).agg(F.max(F.struct("n", "original"))["original"].alias("original"))
+
+
+def _given(named: DataFrame, quoting: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, m, level, passage, original) for each different quoted line that an earlier message wrote."""
+    each = quoting.where("conv_id is not null and turn is not null").dropDuplicates(["m"])
+    rows = each.select("conv_id", "turn", "m", F.posexplode("lines").alias("at", "x")).select("conv_id", "turn", "m", "at", "x.*")
+    begins = ((F.col("level") > 0) & (F.col("level") != F.col("before"))).cast("int")
+    passage = F.sum(begins).over(W.partitionBy("m").orderBy("at"))  # the lines of one text
+    asked = _hashed(rows.withColumn("passage", passage.cast("int")).where("level > 0").select("conv_id", "turn", "m", "level", "passage", "line"))
+    asked = materialise(asked.distinct(), "quoted-lines")
+    talks = named.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = _hashed(_parsed(talks.where("turn is not null")).select("conv_id", "turn", F.explode(F.filter("lines", _is_own)).alias("x")).select("conv_id", "turn", "x.line"))
+    originals = materialise(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("original")), "original-lines")
+    given = materialise(asked.join(originals, ["conv_id", "hash"]).where("original < turn").drop("hash"), "given-lines")
+    release(asked, originals)
+    return given
+
+
+def _threads(parents: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, parent, thread, depth) of the messages that answer another (a stored table conv_id, turn,
+    parent). Each round doubles the steps that a row has taken."""
+    now = materialise(parents.select("*", F.col("parent").alias("thread"), F.lit(1).cast("long").alias("depth")), "threads")
     while True:
-        above = found[-1].select("conv_id", F.col("turn").alias("parent"), F.col("path").alias("above"))
-        step = all_turns.join(above, ["conv_id", "parent"]).select("conv_id", "turn", "parent", F.concat("above", F.array("turn")).alias("path"))
-        step = materialise(step, "reply-paths")
-        if not step.limit(1).count():
-            return _union(found)
-        found.append(step)
+        above = now.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("further"), F.col("depth").alias("steps"))
+        met = now.join(above, (F.col("conv_id") == F.col("c")) & (F.col("thread") == F.col("t")), "left")
+        moved = met.select("conv_id", "turn", "parent", F.coalesce("further", "thread").alias("thread"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"), F.isnotnull("t").alias("moved"))
+        after = materialise(moved, "threads")
+        release(now)
+        now = after
+        if not now.where("moved").limit(1).count():
+            return now.drop("moved")
+        now = now.drop("moved")
+        now._skylattice_path = after._skylattice_path
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per message in reply order: conv_id, turn, role, text (its own), n_quotes, max_level, parent (the turn it
-    answers), path and quoted (level, block and original turn of each quoted block whose original is found)."""
+    """One row per message in reply order: conv_id, turn, role, text (its own), n_quotes (passages), max_level, parent
+    (the turn it answers), thread, depth and quoted (level, passage and original turn of each passage whose original is
+    found)."""
     turn_kind = messages.schema["turn"].dataType.simpleString()
-    kind = f"array<struct<level:int,block:array<int>,original:{turn_kind}>>"
-    m = F.xxhash64("conv_id", "turn", "role", "text").alias("m")
-    named = messages.select("conv_id", "turn", "role", "text", m)
-    quoted = quotations(named)
-    counts = parents = None
-    if quoted is not None:
-        quoted = materialise(quoted, "quotations")
-        counts = quoted.groupBy("m").agg(F.countDistinct("level", "block").alias("n_quotes"), F.max("level").alias("max_level"))
-        asked = _lines(quoted, F.col("text"), "conv_id", "turn", "m", "level", "block").distinct()
-        own = _lines(named.join(asked.select("conv_id").distinct(), "conv_id", "left_semi"), _own(F.col("text")), "conv_id", "turn")
-        originals = materialise(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("original")), "original-lines")
-        given = materialise(materialise(asked, "quoted-lines").join(originals, ["conv_id", "hash"]).where("original < turn"), "given-lines")
-        best = lambda df, *by: df.groupBy(*by, "original").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max(F.struct("n", "original"))["original"].alias("original"))
-        blocks = best(given, "m", "level", "block")
-        sources = blocks.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("level", "block", "original"))).alias("quoted"))
-        counts = counts.join(sources, "m", "left")
-        parents = best(given, "conv_id", "turn", "level").groupBy("conv_id", "turn").agg(F.min(F.struct("level", "original"))["original"].alias("parent"))
-    paths = materialise(_paths(named, parents), "paths").withColumnsRenamed({"conv_id": "c", "turn": "t"})
-    out = named.join(paths, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")))
-    if counts is not None:
-        out = out.join(materialise(counts, "quote-counts"), "m", "left")
+    kind = f"array<struct<level:int,passage:int,original:{turn_kind}>>"
+    named = messages.select("conv_id", "turn", "role", "text", F.xxhash64("conv_id", "turn", "role", "text").alias("m"))
+    parsed = _parsed(named)
+    begins = F.size(F.filter("lines", lambda x: (x["level"] > 0) & (x["level"] != x["before"])))
+    level = F.array_max(F.transform("lines", lambda x: x["level"]))
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    is_null = F.isnull("text")
+    out = parsed.select(
+        "conv_id", "turn", "role", F.when(~is_null, _own_text()).alias("text"), "m",
+        F.when(is_null, 0).otherwise(begins).cast("long").alias("n_quotes"), zero(level, "int").alias("max_level"),
+    )
+    quoting = _parsed(named.where(F.col("text").rlike(_QUOTED)))
+    if quoting.limit(1).count():
+        given = _given(named, quoting)
+        passages = _best(given, "m", "level", "passage")
+        quoted = materialise(passages.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("level", "passage", "original"))).cast(kind).alias("quoted")), "quoted")
+        parents = _best(given, "conv_id", "turn", "level").groupBy("conv_id", "turn").agg(F.min(F.struct("level", "original"))["original"].alias("parent"))
+        threads = _threads(materialise(parents, "reply-parents"))
+        out = out.join(threads, ["conv_id", "turn"], "left").join(quoted, "m", "left")
     else:
-        out = out.select("*", F.lit(None).cast("long").alias("n_quotes"), F.lit(None).cast("int").alias("max_level"), F.lit(None).cast(kind).alias("quoted"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), _own(F.col("text"))).alias("text"), zero("n_quotes"), zero("max_level"), "parent", "path", F.coalesce("quoted", F.array().cast(kind)).alias("quoted")).orderBy("conv_id", "path", "turn", "role", "text")
+        none = F.lit(None).cast(turn_kind)
+        out = out.select("*", none.alias("parent"), none.alias("thread"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast(kind).alias("quoted"))
+    out = out.select(
+        "conv_id", "turn", "role", "text", "n_quotes", "max_level", "parent", F.coalesce("thread", "turn").alias("thread"),
+        zero(F.col("depth"), "long").alias("depth"), F.coalesce("quoted", F.array().cast(kind)).alias("quoted"),
+    )
+    return out.orderBy("conv_id", "thread", "turn", "role", "text")
 
 
 def op3_quote_links(spark, sf_dir):
-    found = link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return found.drop("quoted").withColumn("path", F.array_join("path", "/", "?"))
+    return link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("quoted")
 
 
-#: The tables hold no line that begins with a mark: then every message starts a thread of its own and keeps its text.
-#: Messages with quotations are held against brute force in the tests.
+#: The whole linking, line by line. The given tables hold no line that begins with a mark; the tests also run this
+#: statement over conversations that quote each other.
 ORACLE_SQL = {
-    "op3_quote_links": r"""
-SELECT conv_id, turn, role, text, 0::BIGINT AS n_quotes, 0::INTEGER AS max_level, NULL::BIGINT AS parent, turn::VARCHAR AS path
-FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '(^|\n)[ \t]*>')""",
+    "op3_quote_links": rf"""
+WITH RECURSIVE c AS (SELECT row_number() OVER () AS rid, * FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+l AS (SELECT rid, conv_id, turn, i, line, length(marks) - length(replace(marks, '>', '')) AS level
+      FROM (SELECT *, ls[i] AS line, regexp_extract(ls[i], '{_MARKS}') AS marks FROM (SELECT rid, conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM c)))),
+n AS (SELECT *, coalesce(lead(level) OVER o, 0) AS after, coalesce(lag(level) OVER o, 0) AS before, trim(regexp_replace(lower(line), '{_NOISE}', ' ', 'g')) AS norm FROM l WINDOW o AS (PARTITION BY rid ORDER BY i)),
+k AS (SELECT *, level = 0 AND NOT (after > 0 AND regexp_matches(line, '{_INTRO}')) AS own, sum((level > 0 AND level <> before)::INTEGER) OVER (PARTITION BY rid ORDER BY i) AS passage FROM n),
+s AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) FILTER (own) AS said, count(*) FILTER (level > 0 AND level <> before) AS n_quotes, max(level) AS max_level FROM k GROUP BY rid),
+o AS (SELECT conv_id, norm, min(turn) AS original FROM k WHERE own AND norm <> '' GROUP BY ALL),
+g AS (SELECT DISTINCT k.rid, conv_id, k.turn, level, passage, norm, original FROM k JOIN o USING (conv_id, norm) WHERE level > 0 AND original < k.turn),
+v AS (SELECT conv_id, turn, level, arg_max(original, (n, original)) AS original FROM (SELECT conv_id, turn, level, original, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL),
+p AS (SELECT conv_id, turn, arg_min(original, level) AS parent FROM v GROUP BY ALL),
+up AS (SELECT conv_id, turn, parent AS thread, 1::BIGINT AS depth FROM p UNION ALL SELECT up.conv_id, up.turn, p.parent, depth + 1 FROM up JOIN p ON p.conv_id = up.conv_id AND p.turn = up.thread),
+h AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL)
+SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text IS NOT NULL THEN coalesce(said, '') END AS text, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(max_level, 0)::INTEGER AS max_level,
+  parent, coalesce(thread, a.turn) AS thread, coalesce(depth, 0)::BIGINT AS depth
+FROM conversations a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id AND a.turn IS NOT DISTINCT FROM c.turn AND a.role IS NOT DISTINCT FROM c.role AND a.text IS NOT DISTINCT FROM c.text
+LEFT JOIN s USING (rid) LEFT JOIN p ON p.conv_id = a.conv_id AND p.turn = a.turn LEFT JOIN h ON h.conv_id = a.conv_id AND h.turn = a.turn""",
 }
