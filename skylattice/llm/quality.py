@@ -3,8 +3,9 @@
 Each document gets word statistics. Each (language, source) group has, for every ratio, a sketch: counts in
 logarithmic bins of 2 % relative width. Sketches of a group merge by adding counts, so one pass with map-side
 aggregation builds them at any size, in any order, with the same result. Fences taken from a group's quartiles replace
-fixed cutoffs; a group with fewer than ``min_group`` documents borrows the sketch of its language, then that of the
-whole corpus. A join brings the fences to the documents.
+fixed cutoffs. Quartiles of few documents are uncertain: each group's are averaged with those of its language, and these
+with those of the whole corpus, which count as much as ``strength`` documents each. A join brings the fences to the
+documents.
 
 Null or empty text: all counts 0 and ``base_failed``. Null language or source: a group of its own. Repeated rows:
 each is judged. Extra columns are ignored. An empty table gives no rows.
@@ -30,6 +31,8 @@ RATIOS = {
     "repeats": ("n_repeat_words", 0.3, False),
 }
 BIN_WIDTH = 1.02
+#: Documents that the quartiles of a wider group count for.
+STRENGTH = 50.0
 
 
 def word_stats(text: bytes) -> tuple[int, int, int, int, int]:
@@ -71,44 +74,56 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
 
 
-def sketch_fences(sketches: DataFrame, keys: list[str], spread: float) -> DataFrame:
-    """Per key: size and the struct ``fences`` of ratio -> (low, high), from the quartiles of the sketches.
-    A sketch has at most some 1,500 bins, whatever the size of its group."""
+def sketch_quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, ratio, size, q1, q3). A sketch has at most some 1,500 bins, whatever the size of its group."""
     below = W.partitionBy(*keys, "ratio")
     at = lambda q: F.min(F.when(F.col("cum") >= q * F.col("total"), F.col("bin")))
     value = lambda b: F.when(b == 0, 0.0).otherwise(F.pow(F.lit(BIN_WIDTH), b - 0.5) / 1000)
-    quartiles = (
-        sketches.withColumn("cum", F.sum("n").over(below.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("n").over(below))
-        .groupBy(*keys, "ratio")
-        .agg(F.max("total").alias("size"), value(at(0.25)).alias("q1"), value(at(0.75)).alias("q3"))
-    )
+    counted = sketches.withColumn("cum", F.sum("n").over(below.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
+    counted = counted.withColumn("total", F.sum("n").over(below))
+    return counted.groupBy(*keys, "ratio").agg(F.max("total").alias("size"), value(at(0.25)).alias("q1"), value(at(0.75)).alias("q3"))
+
+
+def shrunk(quartiles: DataFrame, wider: DataFrame, on: list[str], strength: float) -> DataFrame:
+    """Quartiles averaged by size with those of wider groups, which count as ``strength`` documents."""
+    both = join_small(quartiles, wider.select(*on, "ratio", F.col("q1").alias("w1"), F.col("q3").alias("w3")), [*on, "ratio"])
+    mean = lambda q, w: (F.col("size") * F.col(q) + strength * F.col(w)) / (F.col("size") + strength)
+    return both.withColumns({"q1": mean("q1", "w1"), "q3": mean("q3", "w3")}).drop("w1", "w3")
+
+
+def sketch_fences(quartiles: DataFrame, keys: list[str], spread: float) -> DataFrame:
+    """Per key the struct ``fences`` of ratio -> (low, high)."""
     least = F.create_map(*(x for name, (_, width, _) in RATIOS.items() for x in (F.lit(name), F.lit(width))))
     width = F.greatest(spread * (F.col("q3") - F.col("q1")), least[F.col("ratio")])
     fence = F.struct((F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
     of = lambda name: F.max(F.when(F.col("ratio") == name, fence)).alias(name)
-    return quartiles.groupBy(*keys).agg(F.max("size").alias("size"), F.struct(*(of(x) for x in RATIOS)).alias("fences"))
+    return quartiles.groupBy(*keys).agg(F.struct(*(of(x) for x in RATIOS)).alias("fences"))
 
 
-def quality_rules(docs: DataFrame, spread: float = 3.0, min_group: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 3.0, strength: float = STRENGTH) -> DataFrame:
     """One row per document: doc_id, lang, source, the statistics, base_failed, kept and the names of failed ratios."""
     stats = materialise(document_stats(docs), "quality-stats")
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"key_{c}")
     keyed = stats.select("*", mark("lang"), mark("source"))
     keys = ["key_lang", "key_source"]
     own = materialise(ratio_sketches(keyed, keys), "quality-sketches")
-    by_group, by_lang, by_all = (sketch_fences(s, k, spread) for s, k in ((own, keys), (merge_sketches(own, keys[:1]), keys[:1]), (merge_sketches(own, []), [])))
-    one = by_all.where("size > 0").select("fences").first()  # a single row, none if no document has words
-    whole = F.struct(*(F.struct(F.lit(one.fences[x].low).alias("low"), F.lit(one.fences[x].high).alias("high")).alias(x) for x in RATIOS)) if one else F.lit(None)
-    names = lambda df, tag: df.withColumnsRenamed({"size": f"size_{tag}", "fences": f"fences_{tag}"})
-    chosen = F.when(F.col("size_group") >= min_group, F.col("fences_group")).when(F.col("size_lang") >= min_group, F.col("fences_lang")).otherwise(whole)
-    fences = materialise(names(by_group, "group").join(names(by_lang, "lang"), keys[:1]).select(*keys, chosen.alias("fences")), "quality-fences")
+    langs = materialise(merge_sketches(own, keys[:1]), "quality-sketches")
+    whole = sketch_quartiles(merge_sketches(langs, []), [])  # a row for each ratio
+    by_lang = materialise(shrunk(sketch_quartiles(langs, keys[:1]), whole, [], strength), "quality-quartiles")
+    by_group = shrunk(sketch_quartiles(own, keys), by_lang, keys[:1], strength)
+    fences = materialise(sketch_fences(by_group, keys, spread), "quality-fences")
     ratio = lambda name: F.col(RATIOS[name][0]) / F.col("n_words")
-    out = lambda name: (ratio(name) > F.col(f"fences.{name}.high")) | (ratio(name) < F.col(f"fences.{name}.low") if RATIOS[name][2] else F.lit(False))
-    failed = F.when(F.col("n_words") > 0, F.filter(F.array(*(F.when(out(name), F.lit(name)) for name in RATIOS)), F.isnotnull)).otherwise(F.array().cast("array<string>"))
+
+    def out(name: str):
+        high = ratio(name) > F.col(f"fences.{name}.high")
+        return high | (ratio(name) < F.col(f"fences.{name}.low")) if RATIOS[name][2] else high
+
+    names = F.filter(F.array(*(F.when(out(name), F.lit(name)) for name in RATIOS)), F.isnotnull)
+    failed = F.when(F.col("n_words") > 0, names).otherwise(F.array().cast("array<string>"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     joined = join_small(keyed, fences, keys, "left")
-    return joined.select(*stats.columns, base.alias("base_failed"), failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    found = joined.select(*stats.columns, base.alias("base_failed"), failed.alias("failed"))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
 def op2_quality_rules(spark, sf_dir):
@@ -116,7 +131,7 @@ def op2_quality_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
-def _oracle(spread: float = 3.0, min_group: int = 200) -> str:
+def _oracle(spread: float = 3.0, strength: float = STRENGTH) -> str:
     blank, keys = r"[^\x20\x09-\x0D]", "coalesce('=' || lang, '') AS kl, coalesce('=' || source, '') AS ks"
     value = f"CASE WHEN {{0}} = 0 THEN 0.0::DOUBLE ELSE pow({BIN_WIDTH}::DOUBLE, {{0}} - 0.5) / 1000 END"
     least = "CASE ratio " + " ".join(f"WHEN '{n}' THEN {w}::DOUBLE" for n, (_, w, _) in RATIOS.items()) + " END"
@@ -143,7 +158,7 @@ v AS (SELECT s.*, {", ".join(f"CASE WHEN n_words > 0 THEN {c} / n_words END AS v
 k AS (SELECT kl, ks, ratio, CASE WHEN x < 0.001 THEN 0 ELSE 1 + floor(ln(x * 1000) / ln({BIN_WIDTH}::DOUBLE)) END::INTEGER AS bin, count(*) AS n
   FROM ({" UNION ALL ".join(f"SELECT kl, ks, '{n}' AS ratio, v{n} AS x FROM v WHERE n_words > 0" for n in RATIOS)}) GROUP BY ALL),
 f AS (SELECT kl, ks, {sides} FROM (SELECT kl, ks, ratio, q1, q3, greatest({spread} * (q3 - q1), {least}) AS width FROM (
-  SELECT a.kl, a.ks, ratio, {", ".join(f"CASE WHEN a.size >= {min_group} THEN a.{q} WHEN b.size >= {min_group} THEN b.{q} ELSE c.{q} END AS {q}" for q in ("q1", "q3"))}
+  SELECT a.kl, a.ks, ratio, {", ".join(f"(a.size * a.{q} + {strength} * (b.size * b.{q} + {strength} * c.{q}) / (b.size + {strength})) / (a.size + {strength}) AS {q}" for q in ("q1", "q3"))}
   FROM {fences("kl, ks")} a JOIN {fences("kl")} b USING (kl, ratio) JOIN {fences("")} c USING (ratio))) GROUP BY ALL),
 d AS (SELECT v.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, CASE WHEN n_words > 0 THEN {failed} ELSE '' END AS failed FROM v LEFT JOIN f USING (kl, ks))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM d"""

@@ -52,10 +52,24 @@ def test_sketches_merge_and_bound_the_error(spark):
     merged = quality.merge_sketches(quality.ratio_sketches(stats, ["lang", "source"]), ["lang"])
     assert sorted(map(tuple, whole.select(*merged.columns).collect())) == sorted(map(tuple, merged.collect()))
     values = sorted(r.n_symbols / r.n_words for r in stats.collect())
-    fence = quality.sketch_fences(whole, ["lang"], 1.0).first().fences.symbols
+    fence = quality.sketch_fences(quality.sketch_quartiles(whole, ["lang"]), ["lang"], 1.0).first().fences.symbols
     q1, q3 = values[len(values) // 4 - 1], values[3 * len(values) // 4 - 1]
     assert fence.high == pytest.approx(q3 + max(0.1, q3 - q1), rel=0.03)
 
 
+def test_small_groups_lean_on_wider_ones_without_a_switch(spark):
+    rows = [("en", "s", 0.1)] * 199 + [("en", "t", 0.5)] * 2 + [("de", "s", 0.3)]
+    stats = spark.createDataFrame([(l, s, 1000, 0, int(1000 * v), 0, 0) for l, s, v in rows], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    keys = ["lang", "source"]
+    own = quality.ratio_sketches(stats, keys)
+    langs = quality.merge_sketches(own, keys[:1])
+    lang = quality.shrunk(quality.sketch_quartiles(langs, keys[:1]), quality.sketch_quartiles(quality.merge_sketches(langs, []), []), [], 50)
+    got = {(r.lang, r.source): r.q3 for r in quality.shrunk(quality.sketch_quartiles(own, keys), lang, keys[:1], 50).where("ratio = 'symbols'").collect()}
+    de = (1 * 0.3 + 50 * 0.1) / 51
+    assert got["en", "s"] == pytest.approx(0.1, rel=0.02)
+    assert got["en", "t"] == pytest.approx((2 * 0.5 + 50 * 0.1) / 52, rel=0.02)
+    assert got["de", "s"] == pytest.approx((1 * 0.3 + 50 * de) / 51, rel=0.02)
+
+
 def test_empty_table(spark):
     assert quality.quality_rules(spark.createDataFrame([], "doc_id long, lang string, source string, text string")).count() == 0
