@@ -1,4 +1,10 @@
+import html
+import math
 import random
+import re
+import time
+import urllib.parse
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -78,3 +84,58 @@ def test_empty_tables(spark):
     pages, docs, _ = frames(spark)
     assert language.identify(pages.limit(0), docs).count() == 0
     assert {g.lang for g in language.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def plain_posteriors(pages, docs, weight=40.0, buckets=1 << 13):
+    """The module's text in plain Python: tags cut by a regular expression, trigrams of bytes in a dictionary, hashed as
+    stated, votes counted by loops over all pages."""
+
+    def buckets_of(text):
+        data = f" {re.sub(r'[^a-zäöüßéèàêûç]+', ' ', text.lower())} ".encode()
+        return Counter((int.from_bytes(data[i : i + 3], "big") * 2654435761 % 2**32) >> 19 for i in range(len(data) - 2))
+
+    seen = defaultdict(Counter)
+    for lang, text in docs:
+        if lang is not None:
+            seen[lang].update(buckets_of(text or ""))
+    langs = sorted(seen)
+    sums = {x: sum(c.values()) + buckets / 2 for x, c in seen.items()}
+    rows = []
+    for _, url, page in pages:
+        text = html.unescape(re.sub(r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<[^>]*>", " ", page or ""))
+        found = buckets_of(text)
+        n = sum(found.values())
+        ll = [sum(k * math.log((seen[x][b] + 0.5) / sums[x]) for b, k in found.items()) for x in langs]
+        ll = [(x - max(ll)) * min(1, weight / n) for x in ll] if n >= 2 else [0.0] * len(langs)
+        host = (urllib.parse.urlsplit(url or "").hostname or "") if "://" in (url or "") else ""
+        declared = re.search(r"(?i)<html[^>]*? lang=.([a-z]{2,3})\b", page or "")
+        rows.append({"ll": ll, "best": ll.index(max(ll)), "host": host, "domain": ".".join(host.split(".")[-2:]) if "." in host else "", "suffix": host.rsplit(".", 1)[-1] if "." in host else "", "declared": declared[1].lower() if declared else ""})
+    total = [sum(r["best"] == i for r in rows) for i in range(len(langs))]
+    flat = [(x + 1) / (len(rows) + len(langs)) for x in total]
+    for k, r in enumerate(rows):
+        votes = {f: [sum(o["best"] == i and o[f] == r[f] for j, o in enumerate(rows) if j != k) for i in range(len(langs))] for f in ("host", "domain", "declared", "suffix")}
+        logs = []
+        for i in range(len(langs)):
+            domain = (votes["domain"][i] + 20 * flat[i]) / (sum(votes["domain"]) + 20)
+            host = (votes["host"][i] + 10 * domain) / (sum(votes["host"]) + 10)
+            logs.append(r["ll"][i] + math.log(host) + sum(math.log((votes[f][i] + flat[i]) / (total[i] + 1)) for f in ("declared", "suffix")))
+        top = [math.exp(x - max(logs)) for x in logs]
+        yield dict(zip(langs, (x / sum(top) for x in top)))
+
+
+def test_posteriors_of_all_pages_by_brute_force(spark):
+    pages, docs, _ = frames(spark)
+    rows = pages.select("page_id", "url", "html").collect()
+    want = sorted((p.page_id, sorted((x, round(v, 7)) for x, v in post.items())) for p, post in zip(rows, plain_posteriors(rows, docs.select("lang", "text").collect())))
+    for block in (language.LANG_BLOCK, 2, 1):
+        got = language.identify(pages, docs, lang_block=block).collect()
+        assert sorted((g.page_id, sorted((x, round(v, 7)) for x, v in g.posterior.items())) for g in got) == want
+
+
+def test_tags_of_long_and_broken_pages():
+    began = time.perf_counter()
+    for part in ("<!--", "<script ", "<", "<style>", "</script  ", "<p>x"):
+        language.page_text("a b " + part * 400_000)
+    assert time.perf_counter() - began < 20
+    assert language.page_text("a<b>c</b>d <!-- x > y --> e<STYLE>no</Style >f&amp;g < h").split() == ["a", "c", "d", "e", "f&g", "<", "h"]
+    assert language.page_text("a <!-- open > b").split() == ["a"] and language.page_text("1 < 2") == "1 < 2"
