@@ -7,12 +7,14 @@ Each source has a schedule of its rate over the training time 0 to 1 (piecewise
 cumulative demand; inverting it at the words that come before a document gives the document's training position in
 each pass. Documents are sorted by range of their first position.
 
-The order by hash is that of 60 bits of an MD5 of id and text. The words before a document are a prefix sum in three steps, so that no task holds a whole source: sums of small
-hash ranges, sums of coarse ranges over those, and a window in each small range.
+The order by hash is that of 60 bits of an MD5 of id and text. The words before a document are a prefix sum in three
+steps, so that no task holds a whole source: sums of small hash ranges, sums of coarse ranges over those, and a window in
+each small range.
 
 Null text: size 0. Null source: a source of its own, the last. Documents of size 0 are never taken and have no
-position. Rows equal in doc_id and text are taken in either order. Extra columns are ignored by ``mix`` and kept by
-``mixed_rows``; an empty table gives no rows.
+position. Rows equal in doc_id and text are taken in either order, and counted one by one. A text of any length is one
+number here. Extra columns are ignored by ``mix`` and kept by ``mixed_rows`` (those that begin with two underscores and
+``mix`` are reserved there); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -127,26 +129,52 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEAT
     return out.orderBy(first.asc_nulls_last(), "h", "doc_id").drop("h")
 
 
+def _split_group(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of groups of equal id and text of which the last pass takes some: with __mix_pass, a row for each pass. Rows
+    equal in all columns are counted before they meet; the others are numbered by hash, in 1,024 ranges a group."""
+    group = ["__mix_key", "__mix_h"]
+    variant = F.xxhash64(F.to_json(F.struct(*columns)))
+    same = rows.withColumn("__mix_v", variant).groupBy(*group, "__mix_v")
+    same = same.agg(F.first(F.struct(*columns)).alias("__mix_row"), F.first("__mix").alias("__mix"), F.count("*").alias("__mix_n"))
+    same = materialise(same.withColumn("__mix_range", F.shiftright("__mix_v", 54)), "mix-variants")
+    earlier = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    ranges = same.groupBy(*group, "__mix_range").agg(F.sum("__mix_n").alias("__mix_sum"))
+    ranges = ranges.select(*group, "__mix_range", total("__mix_sum", earlier(*group, "__mix_range")).alias("__mix_base"))
+    placed = join_small(same, ranges, [*group, "__mix_range"]).withColumn("__mix_at", F.col("__mix_base") + total("__mix_n", earlier(*group, "__mix_range", "__mix_v")))
+    extra = F.greatest(F.lit(0), F.least("__mix_n", F.col("__mix.last") - F.col("__mix_at")))
+    copies = (F.col("__mix.passes") * F.col("__mix_n") + extra).cast("long")
+    each = placed.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn("__mix_i", F.explode(F.expr("sequence(1, __mix_copies)")))
+    nth = F.least(F.col("__mix.passes"), F.expr("(__mix_i - 1) div __mix_n"))
+    return each.select("__mix_row.*", "__mix", "__mix_h", nth.alias("__mix_pass"))
+
+
 def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: tuple = SCHEDULES) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, sorted by range of training position: a row for each whole pass, and
     one more for documents of which the last pass takes half or more. Rows equal in doc_id and text share positions."""
     sizes = _sizes(docs)
     targets = source_targets(sizes, weights, max_repeats)
-    placed = materialise(_placed(sizes, targets).withColumn("passes", F.expr("if(source_size > 0, budget div source_size, 0)")), "mix-placed")
-    partly = 2 * (F.col("budget") - F.col("passes") * F.col("source_size") - F.col("before")) >= F.col("size")
-    ends = placed.groupBy("key").agg(F.max("passes").alias("passes"), F.max(F.when(partly & (F.col("size") > 0), F.col("h"))).alias("end"))
-    ends = materialise(ends.select("key", "end"), "mix-ends")
-    firsts = placed.where("size > 0").groupBy("key", "h", "doc_id").agg(F.min("before").alias("before"), *(F.first(c).alias(c) for c in ("passes", "source_size", "budget", "rank")))
-    more = F.coalesce(F.col("h") <= F.col("end"), F.lit(False)).cast("int")
-    taken = join_small(firsts, ends, "key").withColumn("copies", F.col("passes").cast("int") + more).where("copies > 0")
-    taken = materialise(taken.select(F.struct("copies", "before", "source_size", "budget", "rank").alias("__mix"), F.col("key").alias("__mix_key"), F.col("h").alias("__mix_h"), F.col("doc_id").alias("__mix_id")), "mix-taken")
-    marked = docs.withColumns({"__key": _key(), "__h": _hash()})
-    same = (F.col("__key") == F.col("__mix_key")) & (F.col("__h") == F.col("__mix_h")) & F.col("doc_id").eqNullSafe(F.col("__mix_id"))
-    rows = join_small(marked, taken, same).withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__mix.copies") - 1)))
-    share = (F.col("__pass") * F.col("__mix.source_size") + F.col("__mix.before")) / F.col("__mix.budget")
+    placed = _placed(sizes, targets).where("size > 0").withColumn("passes", F.expr("budget div source_size"))
+    same = ("source_size", "budget", "rank", "passes", "size")
+    groups = placed.groupBy("key", "h", "doc_id").agg(F.min("before").alias("before"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in same))
+    due = F.col("budget") - F.col("passes") * F.col("source_size") - F.col("before")
+    last = F.greatest(F.lit(0), F.least(F.col("n"), F.floor((2 * due + F.col("size")) / (2 * F.col("size")))))
+    taken = groups.withColumn("last", last.cast("long")).where("passes + last > 0")
+    mark = F.struct("passes", "last", "n", "before", "source_size", "budget", "rank").alias("__mix")
+    taken = materialise(taken.select(mark, F.col("key").alias("__mix_key"), F.col("h").alias("__mix_h"), F.col("doc_id").alias("__mix_id")), "mix-taken")
+    marked = docs.withColumns({"__mix_source": _key(), "__mix_hash": _hash()})
+    is_of = (F.col("__mix_source") == F.col("__mix_key")) & (F.col("__mix_hash") == F.col("__mix_h")) & F.col("doc_id").eqNullSafe(F.col("__mix_id"))
+    partly = F.col("__mix.last").between(1, F.col("__mix.n") - 1)
+    copies = F.col("__mix.passes") + (F.col("__mix.last") > 0).cast("int")
+    whole = join_small(marked, taken.where(~partly), is_of).withColumn("__mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    rows = whole.select(*docs.columns, "__mix", "__mix_h", "__mix_pass")
+    split = taken.where(partly)  # one group of each source at most
+    if split.limit(1).count():
+        rows = rows.unionByName(_split_group(join_small(marked, split, is_of), docs.columns))
+    share = (F.col("__mix_pass") * F.col("__mix.source_size") + F.col("__mix.before")) / F.col("__mix.budget")
     kind = F.pmod("__mix.rank", F.lit(len(schedules)))
-    rows = rows.withColumn("__position", F.coalesce(*(F.when(kind == i, position(share, x)) for i, x in enumerate(schedules))))
-    order = ["__position", "__h", "doc_id", "__pass"]
+    rows = rows.withColumn("__mix_position", F.coalesce(*(F.when(kind == i, position(share, x)) for i, x in enumerate(schedules))))
+    order = ["__mix_position", "__mix_h", "doc_id", "__mix_pass"]
     return rows.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).select(*docs.columns)
 
 

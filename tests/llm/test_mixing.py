@@ -92,3 +92,16 @@ def test_repeated_rows_and_empty_tables(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mixed_rows(docs.limit(0)).count() == 0
     assert all(r.taken == 0 for r in mixing.mix(docs.where("text = ''")).collect())
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    """Sources of equal rows reach their targets within a document, whether or not other columns tell the rows apart."""
+    for lang in (lambda i: "en", lambda i: f"l{i}"):
+        rows = [(k, s, "one two three four five six seven eight nine ten", lang(i), i % 3) for k, s in enumerate("ab") for i in range(100)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string, size int").repartition(3)
+        got = mixing.mixed_rows(docs).collect()
+        taken = {s: 10 * sum(r.source == s for r in got) for s in "ab"}
+        assert all(abs(taken[s] - t) <= 5 for s, t in brute_targets({"a": 1000, "b": 1000}).items()), taken
+        if lang(0) != lang(1):
+            copies = [sum(r.source == s and r.lang == f"l{i}" for r in got) for s in "ab" for i in range(100)]
+            assert set(copies[:100]) == {0, 1} and set(copies[100:]) == {1, 2}
