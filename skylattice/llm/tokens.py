@@ -4,13 +4,16 @@ Documents are dealt to ranges of ascending doc_id; each task tokenises its range
 ``shard_tokens`` ids (a longer document has a shard of its own). A shard file holds one bit-plane per bit of the
 largest id, from the highest: plane l stores bit l of all ids in the order in which the planes above have stably
 partitioned them, zeros first, with the number of ones before each block of ``BLOCK`` bits. ``WaveletMatrix`` answers
-access, rank, select, count and occurrence lookup from the file alone. Planes are packed bits under Zstandard. Files are
+access, rank, select, count and occurrence lookup from the file alone. Planes are packed bits in chunks of
+``CHUNK_BYTES``, each under Zstandard by itself: a lookup unpacks a chunk or two of each plane, not the shard. Files are
 named by range and number, written under another name and renamed, so that a repeated task replaces its own files.
 A table of the shards, in order, gives each shard its first position in the corpus; reading goes through Spark's
 binary files.
 
-Null and empty texts give the end id alone. Equal ids are ordered by a hash of the text, and equal rows are encoded
-each. A null doc_id comes first. Extra columns are ignored; an empty table gives no rows.
+Texts are encoded as by a plain call of the tokenizers library: a special token's string in a text gives its id, unless
+``special_as_text``. Null and empty texts give the end id alone. A very long text is one document of a shard of its own.
+Equal ids are ordered by a hash of the text, and equal rows are encoded each. A null doc_id comes first; ids that aren't
+integers are an error, since the files hold integers. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,10 +41,12 @@ BLOCK = 4096
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 16 << 20
-MAGIC = b"WVM1"
+#: Bytes of a plane that are packed together.
+CHUNK_BYTES = 1 << 13
+MAGIC = b"WVM2"
 _HEAD = struct.Struct("<4sIQQ")
 _AMBIGUOUS = re.compile(r"\s\s(?:\s|\Z)")
-_encoders: dict[str, tuple] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
 class Rows:
@@ -77,14 +82,16 @@ class WordEncoder:
     A byte-level pre-tokenizer joins a space to what follows it and looks across white space only within a run of it. So
     a text can be encoded word by word, where words end before a space and before a line feed: the first kind gets its
     space, the second begins with its line feed. Runs of three, and of two at the end of a text, are cut otherwise: texts
-    that have one are encoded as a whole. Words of letters alone are one piece, which a second tokenizer with the same
-    model takes as it is; marks after letters are a piece of their own."""
+    that have one are encoded as a whole, and so are texts that hold the string of a special token, unless these are
+    ordinary text. Words of letters alone are one piece, which a second tokenizer with the same model takes as it is;
+    marks after letters are a piece of their own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # words are ordinary text; see _plain
         self.by_piece = Tokenizer(self.tokenizer.model)  # the same model, not a copy
         self.by_piece.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # how a byte-level vocabulary writes the bytes: printable ones as themselves, the others from 256 on
@@ -102,6 +109,14 @@ class WordEncoder:
     def _ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, text: str) -> np.ndarray:
+        """A whole text as the library encodes it."""
+        self.tokenizer.encode_special_tokens = not self.special
+        try:
+            return self._ids(self.tokenizer, [text])[0]
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _words(self, tokenizer, text: str, n: int, skip: int = 0) -> Rows:
         """Rows of ids of n words in a text, each of which begins with a space; ``skip``: leave out so many first ids."""
         found = self._ids(tokenizer, [text])[0] if n else np.zeros(0, self.kind)
@@ -176,7 +191,10 @@ class WordEncoder:
         if odd.any():
             for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[at]), "right") - 1).tolist():
                 if _AMBIGUOUS.search(x := texts[i].as_py()):
-                    whole[i] = self._ids(self.tokenizer, [x])[0]
+                    whole[i] = self._plain(x)
+        for token in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                whole[i] = self._plain(texts[i].as_py())
         rows = Rows.joined([rows, Rows.of([*firsts, *whole.values(), np.zeros(0, self.kind)], self.kind)])
         at[bounds[:-1]] = len(distinct) + np.arange(len(firsts))
         for k, i in enumerate(whole):
@@ -186,65 +204,106 @@ class WordEncoder:
         return rows.gather(at), ends[bounds[1:]] - ends[bounds[:-1]]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """One for each Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
 def write_wavelet(ids: np.ndarray, doc_ids: list, n_tokens: list[int], bits: int) -> bytes:
-    """A shard file."""
+    """A shard file: head, sizes of what follows, zeros and ranks of each plane, documents, and the planes in chunks."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    planes, zeros, order = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32, copy=True)
+    chunks, zeros, ranks, order = [], [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32, copy=True)
     for level in range(bits - 1, -1, -1):
         ones = (order & order.dtype.type(1 << level)).astype(bool)
         bits_of = np.packbits(ones, bitorder="little")
         padded = np.zeros(-(-len(ones) // BLOCK) * BLOCK // 8, np.uint8)
         padded[: len(bits_of)] = bits_of
-        ranks = np.cumsum(np.append(0, np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64))).astype("<u4")
-        planes.append(pack(ranks.tobytes() + bits_of.tobytes()))
+        ranks.append(np.cumsum(np.append(0, np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64))))
+        chunks += [pack(bits_of[i : i + CHUNK_BYTES].tobytes()) for i in range(0, len(bits_of), CHUNK_BYTES)]
         low, high = order.compress(~ones), order.compress(ones)
         zeros.append(len(low))
         order[: len(low)], order[len(low) :] = low, high
     null = np.array([x is None for x in doc_ids], np.uint8)
     docs = pack(null.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(n_tokens, "<i8").tobytes())
-    sizes = np.array([len(docs), *map(len, planes)], "<u8")
-    return b"".join((_HEAD.pack(MAGIC, bits, len(ids), len(doc_ids)), sizes.tobytes(), np.array(zeros, "<u8").tobytes(), docs, *planes))
+    parts = (np.array([len(docs), *map(len, chunks)], "<u4"), np.array(zeros, "<u8"), np.concatenate(ranks).astype("<u4"))
+    return b"".join((_HEAD.pack(MAGIC, bits, len(ids), len(doc_ids)), *(x.tobytes() for x in parts), docs, *chunks))
 
 
 class WaveletMatrix:
-    """Rank and select on one shard file."""
+    """Rank and select on one shard file, given as bytes or as a memory map. Chunks are unpacked when they are needed,
+    and the last ``keep`` of them are kept."""
 
-    def __init__(self, data: bytes):
-        magic, self.bits, self.n, n_docs = _HEAD.unpack_from(data)
+    def __init__(self, data, keep: int = 64):
+        magic, self.bits, self.n, self.n_docs = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        sizes = np.frombuffer(data, "<u8", self.bits + 1, _HEAD.size).astype(np.int64)
-        self.zeros = np.frombuffer(data, "<u8", self.bits, _HEAD.size + 8 * len(sizes)).astype(np.int64)
-        ends = _HEAD.size + 8 * (2 * self.bits + 1) + np.concatenate(([0], np.cumsum(sizes)))
-        unpack = zstandard.ZstdDecompressor().decompress
-        parts = [unpack(data[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist())]
-        null = np.frombuffer(parts[0], np.uint8, n_docs)
-        ids, self.n_tokens = (np.frombuffer(parts[0], "<i8", n_docs, n_docs + 8 * n_docs * i) for i in (0, 1))
-        self.doc_ids = [None if z else int(x) for z, x in zip(null, ids)]
+        self.n_bytes = -(-self.n // 8)
+        self.per_plane = -(-self.n_bytes // CHUNK_BYTES)
         n_ranks = -(-self.n // BLOCK) + 1
-        self.ranks = [np.frombuffer(p, "<u4", n_ranks) for p in parts[1:]]
-        self.planes = [np.frombuffer(p, np.uint8, offset=4 * n_ranks) for p in parts[1:]]
+        at = _HEAD.size
+        sizes = np.frombuffer(data, "<u4", 1 + self.bits * self.per_plane, at).astype(np.int64)
+        at += 4 * len(sizes)
+        self.zeros = np.frombuffer(data, "<u8", self.bits, at).astype(np.int64)
+        at += 8 * self.bits
+        self.ranks = np.frombuffer(data, "<u4", self.bits * n_ranks, at).reshape(self.bits, n_ranks)
+        at += 4 * self.bits * n_ranks
+        self.ends = (at + np.concatenate(([0], np.cumsum(sizes)))).tolist()
+        self.data, self.keep, self.unpacked = data, keep, {}
+        self.unpack = zstandard.ZstdDecompressor().decompress
+        self._docs: tuple[list, np.ndarray] | None = None
+
+    def _documents(self) -> tuple[list, np.ndarray]:
+        if self._docs is None:
+            part = self.unpack(self.data[self.ends[0] : self.ends[1]])
+            null = np.frombuffer(part, np.uint8, self.n_docs)
+            ids, sizes = (np.frombuffer(part, "<i8", self.n_docs, self.n_docs + 8 * self.n_docs * i) for i in (0, 1))
+            self._docs = [None if z else int(x) for z, x in zip(null, ids)], sizes
+        return self._docs
+
+    @property
+    def doc_ids(self) -> list:
+        return self._documents()[0]
+
+    @property
+    def n_tokens(self) -> np.ndarray:
+        return self._documents()[1]
+
+    def _chunk(self, plane: int, i: int) -> np.ndarray:
+        k = 1 + plane * self.per_plane + i
+        if k not in self.unpacked:
+            while len(self.unpacked) >= self.keep:
+                self.unpacked.pop(next(iter(self.unpacked)))
+            self.unpacked[k] = np.frombuffer(self.unpack(self.data[self.ends[k] : self.ends[k + 1]]), np.uint8)
+        return self.unpacked[k]
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """The bits of one block, which never crosses a chunk."""
+        at = block * BLOCK // 8
+        if at >= self.n_bytes:
+            return np.zeros(0, np.uint8)
+        part = self._chunk(plane, at // CHUNK_BYTES)[at % CHUNK_BYTES :][: BLOCK // 8]
+        return np.unpackbits(part, bitorder="little")[: self.n - block * BLOCK]
+
+    def _plane(self, plane: int) -> np.ndarray:
+        """All bits of a plane."""
+        first = 1 + plane * self.per_plane
+        parts = [self.unpack(self.data[x:y]) for x, y in zip(self.ends[first : first + self.per_plane], self.ends[first + 1 :])]
+        return np.unpackbits(np.frombuffer(b"".join(parts), np.uint8), bitorder="little", count=self.n)
 
     def _rank1(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         block = i // BLOCK
-        part = self.planes[plane][block * BLOCK // 8 : -(-i // 8)]
-        bits = np.unpackbits(part, bitorder="little")[: i - block * BLOCK]
-        return int(self.ranks[plane][block]) + int(bits.sum())
+        return int(self.ranks[plane, block]) + int(self._block(plane, block)[: i - block * BLOCK].sum())
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
         for plane in range(self.bits):
-            bit = self.planes[plane][i >> 3] >> (i & 7) & 1
+            bit = self._block(plane, i // BLOCK)[i % BLOCK]
             ones = self._rank1(plane, i)
             i = int(self.zeros[plane]) + ones if bit else i - ones
             value = value << 1 | int(bit)
@@ -273,8 +332,7 @@ class WaveletMatrix:
         if not bit:
             ranks = np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
         block = int(np.searchsorted(ranks, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")[: self.n - block * BLOCK]
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(ranks[block])])
+        return block * BLOCK + int(np.flatnonzero(self._block(plane, block) == bit)[k - int(ranks[block])])
 
     def select(self, token: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of a token."""
@@ -288,14 +346,23 @@ class WaveletMatrix:
         return i
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        """All positions of a token: one by one if they are few, else by a pass over each plane."""
+        low, high = self._range(token, 0, self.n)
+        if high - low <= 16:
+            return [self.select(token, k) for k in range(high - low)]
+        places = np.arange(low, high)
+        for plane in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - plane) & 1
+            of_bit = np.flatnonzero(self._plane(plane) == bit)
+            places = of_bit[places - int(self.zeros[plane]) if bit else places]
+        return places.tolist()
 
     def decode(self) -> np.ndarray:
         """All ids in order: the stable partitions undone from the lowest plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for plane in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[plane], bitorder="little", count=self.n).view(bool)
+            ones = self._plane(plane).view(bool)
             above, z = np.empty(self.n, kind), int(self.zeros[plane])
             above[np.flatnonzero(~ones)] = out[:z]  # places are set faster than masks
             above[np.flatnonzero(ones)] = out[z:] | kind(1 << (self.bits - 1 - plane))
@@ -303,16 +370,23 @@ class WaveletMatrix:
         return out
 
 
+def _file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder and its path there. Hadoop writes local folders with one slash or three."""
+    if folder.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+
+
 def put_file(folder: str, name: str, data: bytes, attempt: int) -> None:
     """Write a file of a folder that all executors share, replacing an earlier try at once."""
-    fs, path = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+    fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/.{name}.{attempt}.part") as out:
         out.write(data)
     fs.move(f"{path}/.{name}.{attempt}.part", f"{path}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, stored_order: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, stored_order: bool = False, special_as_text: bool = False) -> DataFrame:
     """Write the shard files of doc_id and text to a folder; one row per shard, in order of (part, shard): its file and
     size. With ``stored_order``, ``docs`` are read from Parquet and keep the order of their files and rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -323,7 +397,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        model, part, shard = encoder(tokenizer, special_as_text), TaskContext.get().partitionId(), 0
         end = np.array([end_id], model.kind)
         held, n = [], 0
 

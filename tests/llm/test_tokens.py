@@ -12,12 +12,10 @@ tokenizers = pytest.importorskip("tokenizers")
 
 @pytest.fixture(scope="module")
 def library():
-    t = tokenizers.Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(tokens.tokenizer_path())
 
 
-HARD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a \nb", "a\n\n  b", "\t \tb", "don't  stop", "x   y", "x　 z", "<|endoftext|> a", "é è 123 4,5", "a\x1c b", "tab\t\n \tb", "  lead and trail  ", "\r\n \r\n"]
+HARD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a \nb", "a\n\n  b", "\t \tb", "don't  stop", "x   y", "x　 z", "<|endoftext|> a", "a <|endoftext|>b  c\n", "<|endoftext|><|endoftext|>", "<|endoftext| >", "é è 123 4,5", "a\x1c b", "tab\t\n \tb", "  lead and trail  ", "\r\n \r\n"]
 
 
 @pytest.mark.parametrize("start", [0, 7])
@@ -30,6 +28,32 @@ def test_encoding_by_word_equals_the_library(library, start):
     assert len(ids) == sum(sizes)
 
 
+def test_special_tokens_as_text(library):
+    texts = ["a <|endoftext|> b", "c"]
+    library = tokenizers.Tokenizer.from_file(tokens.tokenizer_path())
+    library.encode_special_tokens = True
+    ids, sizes = tokens.WordEncoder(tokens.tokenizer_path(), special_as_text=True).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_lookup_unpacks_little_of_a_file():
+    r = np.random.default_rng(3)
+    ids = r.integers(0, 50_000, 400_000)
+    w = tokens.WaveletMatrix(tokens.write_wavelet(ids, [1], [len(ids)], 16))
+    for i in (0, 77_777, 399_999):
+        w.unpacked.clear()
+        assert w.access(i) == ids[i] and len(w.unpacked) <= w.bits < w.bits * w.per_plane / 5
+    common = int(np.bincount(ids).argmax())
+    assert w.occurrences(common) == np.flatnonzero(ids == common).tolist()
+
+
+@pytest.mark.parametrize("uri", ["file:{}", "file://{}", "{}"])
+def test_folders_as_hadoop_writes_them(tmp_path, uri):
+    for attempt in (1, 2):
+        tokens.put_file(uri.format(tmp_path / "shards"), "a.wvm", b"x" * attempt, attempt)
+    assert [(p.name, p.read_bytes()) for p in (tmp_path / "shards").iterdir()] == [("a.wvm", b"xx")]
+
+
 @pytest.mark.parametrize("n,high", [(0, 5), (1, 2), (5000, 7), (9000, 50257), (4096, 2), (8192, 70000)])
 def test_wavelet_matrix(n, high):
     r = np.random.default_rng(n)
