@@ -1,14 +1,17 @@
-"""Near-duplicate groups by Jaccard similarity of word shingles: MinHash bands propose pairs, the shingles decide.
+"""Near-duplicate groups by Jaccard similarity of word shingles: SimHash and MinHash bands propose pairs, the shingles decide.
 
-Fingerprints of 64 bits can't find these pairs: a Jaccard similarity of 0.8 means some ten differing bits, and up to
-twenty by chance, for which no choice of blocks prunes. Each text has ``BANDS`` keys of ``BAND_ROWS`` minima instead; a pair
-at exactly 0.8 shares none with a probability of 5e-8. Every proposed pair is verified on its shingles.
+Texts of equal shingles are grouped first. Their SimHash fingerprints go through the pivot tables of ``simhash``, whose
+links propose the first pairs. A Jaccard similarity of 0.8 means some ten differing bits of 64, and up to twenty by
+chance, for which neither pivots nor blocks of bits prune: the links of three bits are completed by ``BANDS`` keys of
+``BAND_ROWS`` minima of each text; a pair at exactly 0.8 shares none with a probability of 5e-8. Every proposed pair is
+verified on its shingles.
 
-Texts of equal shingles are grouped first. The members of a bucket are verified against its smallest; then all pairs of
-a bucket that the links so far leave in different components. A large bucket of copies thus costs a pair for each member.
+The members of a bucket are verified against its smallest; then all pairs of a bucket that the links so far leave in
+different components. A large bucket of copies thus costs a pair for each member.
 
 Words are those of ``simhash.fingerprint``. A text of fewer than ``WIDTH`` words is one shingle; null and empty texts have
-none and are equal. An empty table gives no rows.
+none and are equal. Very long texts are hashed in pieces and compared as sets. Of repeated rows one stays. Extra columns
+are kept (``__text_hash``, ``__id`` and ``__hash`` are reserved); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.arrow import map_batches, text_bytes
 from skylattice.llm.components import components
+from skylattice.llm.simhash import fingerprint_links, majority
 from skylattice.storage import materialise
 
 WIDTH = 5
@@ -53,19 +57,26 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(marked: DataFrame) -> DataFrame:
-    """Rows (doc_id, __text_hash, sig, bands); sig is equal for texts of equal shingles."""
+    """Rows (doc_id, __text_hash, sig, fp, bands); sig is equal for texts of equal shingles, fp is their fingerprint."""
 
     def run(batch):
         sets = [shingles(x) for x in text_bytes(batch.column("text"))]
         sigs = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": batch.column("doc_id"), "__text_hash": batch.column("__text_hash"), "sig": sigs, "bands": [bands(s) for s in sets]}
+        fps = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        named = {c: batch.column(c) for c in ("doc_id", "__text_hash")}
+        return named | {"sig": sigs, "fp": fps, "bands": [bands(s) for s in sets]}
 
-    kind = docs_kind(marked)
-    return map_batches(marked.select("doc_id", "text", "__text_hash"), run, f"doc_id {kind}, __text_hash long, sig long, bands array<long>")
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return map_batches(marked.select("doc_id", "text", "__text_hash"), run, f"doc_id {kind}, __text_hash long, sig long, fp long, bands array<long>")
 
 
-def docs_kind(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
+def _fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints the pivot tables link, or which share one."""
+    prints = materialise(distinct.groupBy("fp").agg(F.min("sig").alias("least")), "set-prints")
+    ends = [prints.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("u", "a"), ("v", "b"))]
+    across = fingerprint_links(prints.select("fp")).join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    within = distinct.select("fp", "sig").join(prints, "fp").where("sig <> least").select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    return across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _sets(marked: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -94,12 +105,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links(marked: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all distinct sets (sig, __text_hash, bands) that are similar to another."""
+    """Links (a, b) that connect all distinct sets (sig, __text_hash, fp, bands) that are similar to another."""
+    linked = materialise(_fingerprint_pairs(distinct), "fingerprint-pairs")
     keys = distinct.select("sig", F.posexplode("bands").alias("t", "part"))
     buckets = materialise(keys.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("sig").alias("lo")).where("n > 1").drop("n"), "buckets")
     members = materialise(keys.join(buckets, ["t", "part"]), "members")
-    sets = _sets(marked, distinct.select("sig", "__text_hash").join(members.select("sig").distinct(), "sig"))
-    stars = materialise(members.where("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b")).distinct(), "stars")
+    asked = members.select("sig").unionByName(linked.select(F.explode(F.array("a", "b")).alias("sig"))).distinct()
+    sets = _sets(marked, distinct.select("sig", "__text_hash").join(asked, "sig"))
+    stars = members.where("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b"))
+    stars = materialise(linked.unionByName(stars).distinct(), "stars")
     near = _verified(stars, sets)
     roots = materialise(components(near, "a", "b"), "roots")
     labelled = materialise(members.join(roots, members.sig == roots.node, "left").select("t", "part", "sig", F.coalesce("root", "sig").alias("label")), "labelled")
@@ -116,7 +130,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__text_hash", F.xxhash64("text"))
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text_hash")).alias("first")
     sketches = materialise(_sketches(marked), "sketches")
-    distinct = materialise(sketches.groupBy("sig").agg(first, F.any_value("bands").alias("bands")).withColumn("__text_hash", F.col("first.__text_hash")), "sets")
+    distinct = materialise(sketches.groupBy("sig").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).withColumn("__text_hash", F.col("first.__text_hash")), "sets")
     roots = materialise(components(_links(marked, distinct), "a", "b"), "roots")
     kept = distinct.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("root", "sig").alias("c")).agg(F.min("first").alias("first"))
     kept = materialise(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.__text_hash").alias("__hash")), "kept")

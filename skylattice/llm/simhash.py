@@ -44,7 +44,11 @@ def fingerprint(text: bytes) -> int:
     if not words:
         return 0
     shingles = [b" ".join(words)] if len(words) < 3 else [b"%b %b %b" % x for x in zip(words, words[1:], words[2:])]
-    hashes = np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
+    return majority(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):  # a very long text in pieces
         ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
