@@ -20,9 +20,16 @@ def keyword_list(raw) -> Column:
     of each kept. Null gives an empty array."""
     parts = F.split(F.coalesce(_c(raw), F.lit("")), ",", -1)
     items = F.filter(F.transform(parts, lambda s: strip(F.regexp_replace(s, r"[\[\]()\"']", ""))), lambda s: s != "")
-    # a one-element array binds the items once for the comparison of spellings
-    bound = F.transform(F.array(items), lambda a: F.filter(a, lambda s, k: F.array_position(F.transform(a, F.lower), F.lower(s)) == k + 1))
-    return bound[0]
+    # sorted by spelling in lower case and place, the first of each spelling follows another one
+    spelled = F.array_sort(F.transform(items, lambda s, k: F.struct(F.lower(s).alias("low"), k.alias("at"), s.alias("word"))))
+
+    def firsts(a: Column) -> Column:
+        lows = F.transform(a, lambda x: x["low"])
+        pairs = F.arrays_zip(a.alias("x"), F.concat(F.array(F.lit(None).cast("string")), lows).alias("before"))
+        new = F.filter(pairs, lambda p: F.isnotnull(p["x"]) & ~p["x"]["low"].eqNullSafe(p["before"]))
+        return F.transform(F.array_sort(F.transform(new, lambda p: F.struct(p["x"]["at"].alias("at"), p["x"]["word"].alias("word")))), lambda x: x["word"])
+
+    return F.transform(F.array(spelled), firsts)[0]  # a one-element array binds the sorted words once
 
 
 def clean_keywords(raw) -> Column:

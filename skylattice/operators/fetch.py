@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
-from skylattice.operators.tiles import todo, with_key
+from skylattice.operators.tiles import keep_first, todo, with_key
 
 OUTCOME = "key string, status string, attempts int, http_code int, image_bytes binary"
 TILES = "group_id string, is_multi_group boolean, zoom int, release_id int, year int, tile_lat double, tile_lon double, file_name string, image_bytes binary"
@@ -92,7 +92,8 @@ def run_fetch(tiles: DataFrame, client, out: str, batches: int = 1, **options) -
 
 
 def read_tiles(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(TILES).parquet(f"{out}/tiles").dropDuplicates(["file_name"])
+    """Each tile once: of copies that a repeated request left, the one of the smallest group."""
+    return keep_first(spark.read.schema(TILES).parquet(f"{out}/tiles"), ["file_name"], "group_id")
 
 
 def fetch_summary(outcomes: DataFrame, by: list[str] | None = None, elapsed: float | None = None) -> DataFrame:

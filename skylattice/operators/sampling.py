@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from skylattice.functions import geo
 from skylattice.functions.random_u import draw_without_replacement, uniform
+from skylattice.operators.provision import global_rank
+from skylattice.storage import materialise
 
 # The plan of single and multi-scale, multi-year requests.
 MULTI_FRACTION = "0.40"
@@ -27,31 +29,34 @@ def cell_quotas(cells: DataFrame, total: int, order: str = "cell_seq", balanced:
     return cells.withColumn("quota", share.cast("long"))
 
 
-def overlapping_cells(cells: DataFrame, region_bounds: Column) -> DataFrame:
-    """Cells (min_x, min_y, max_x, max_y) whose box overlaps the region's with an area; a shared edge isn't enough."""
-    b = region_bounds
-    return cells.where((F.col("min_x") < b["max_x"]) & (F.col("max_x") > b["min_x"]) & (F.col("min_y") < b["max_y"]) & (F.col("max_y") > b["min_y"]))
+def overlapping_cells(cells: DataFrame, region: Column) -> DataFrame:
+    """Cells (min_x, min_y, max_x, max_y) that share an area with the region; a shared edge isn't enough. Cells outside
+    the region's box are dropped before its edges are looked at."""
+    b = geo.bounds(region)
+    near = cells.where((F.col("min_x") < b["max_x"]) & (F.col("max_x") > b["min_x"]) & (F.col("min_y") < b["max_y"]) & (F.col("max_y") > b["min_y"]))
+    return near.where(geo.overlaps_box(region, "min_x", "min_y", "max_x", "max_y"))
 
 
 def sample_in_region(cells: DataFrame, region: Column, total: int, seed: str = "0", max_rounds: int = 12, balanced: bool = False) -> DataFrame:
     """Points (cell_id, seq, lon, lat) uniform in degrees inside each cell and the region, by rejection.
 
-    Each round draws three candidates for each point that a cell still lacks, all as expressions of the cell, round and
-    number, so reruns agree. A cell that stays short after ``max_rounds`` is an error, not an endless loop."""
-    cells = overlapping_cells(cells, geo.bounds(region)).withColumn("cell_seq", (F.row_number().over(W.orderBy("cell_id")) - 1).cast("long"))
+    The first round draws three candidates for each point of a cell, later ones for each that it still lacks, twice as
+    many in each round, all as expressions of the cell, round and number, so reruns agree. The points of a round are
+    stored, not drawn again. A cell that stays short after ``max_rounds`` is an error, not an endless loop."""
+    cells = overlapping_cells(cells, region).withColumn("cell_seq", (F.row_number().over(W.orderBy("cell_id")) - 1).cast("long"))
     quotas = cell_quotas(cells, total, balanced=balanced).where("quota > 0")
     if not quotas.limit(1).count():
         raise ValueError("no grid cell overlaps the region")
     b = geo.bounds(region)
     lacking, found = quotas.withColumn("lack", F.col("quota")), None
     for r in range(max_rounds):
-        tries = F.greatest(F.lit(1000) if r == 0 else F.lit(100), 3 * F.col("lack"))
+        tries = F.greatest(F.lit(1000) if r == 0 else F.lit(100), 3 * F.col("lack")) * 2**r
         drawn = lacking.select("cell_id", "cell_seq", "quota", "min_x", "min_y", "max_x", "max_y", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1)).alias("i"))
         key = F.concat_ws("/", F.lit(seed), F.col("cell_id").cast("string"), F.lit(str(r)), F.col("i").cast("string"))
         low_x, high_x = F.greatest("min_x", b["min_x"]), F.least("max_x", b["max_x"])
         low_y, high_y = F.greatest("min_y", b["min_y"]), F.least("max_y", b["max_y"])
         points = drawn.withColumns({"lon": low_x + uniform(key, 1) * (high_x - low_x), "lat": low_y + uniform(key, 2) * (high_y - low_y)}).where(geo.in_region(region, "lon", "lat"))
-        points = points.select("cell_id", "cell_seq", "quota", F.lit(r).alias("round"), "i", "lon", "lat")
+        points = materialise(points.select("cell_id", "cell_seq", "quota", F.lit(r).alias("round"), "i", "lon", "lat"), "points")
         found = points if found is None else found.unionByName(points)
         got = found.groupBy("cell_id").agg(F.count("*").alias("got"))
         lacking = quotas.join(got, "cell_id", "left").withColumn("lack", F.col("quota") - F.coalesce("got", F.lit(0))).drop("got").where("lack > 0")
@@ -74,10 +79,10 @@ def sample_unstratified(spark: SparkSession, region: Column, total: int, seed: s
 def split_multi(points: DataFrame, key: str, seed: str = "split") -> DataFrame:
     """Points with is_multi_group: exactly floor(0.4 n) of them, in random order; ``place`` is the order of requests,
     singles first."""
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    order = F.row_number().over(W.orderBy(uniform(key, seed), key)) - 1
-    single = n - F.floor(n * F.lit(MULTI_FRACTION).cast("double"))
-    return points.withColumn("place", order.cast("long")).withColumn("is_multi_group", F.col("place") >= single)
+    n = points.count()
+    single = n - int(n * float(MULTI_FRACTION))
+    placed = global_rank(points, uniform(key, seed), key).withColumn("place", (F.col("rn") - 1).cast("long")).drop("rn")
+    return placed.withColumn("is_multi_group", F.col("place") >= single)
 
 
 def request_plan(points: DataFrame, key: str = "seq", run_id: str = "run", seed: str = "plan") -> DataFrame:

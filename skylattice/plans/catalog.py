@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from skylattice.functions import geo, text, vector
 from skylattice.functions.random_u import draw_without_replacement, uniform
-from skylattice.operators import contrastive, fetch, provision, retrieval, sampling, tiles
+from skylattice.operators import captions, contrastive, fetch, provision, retrieval, sampling, tiles
 from skylattice.sources.images import is_image
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +125,7 @@ def _requests(spark, d):
 @query(f"SELECT group_id, is_multi_group, round(centroid_lon, 6) AS centroid_lon, round(centroid_lat, 6) AS centroid_lat, zoom, release_id, year, file_name, seq FROM {_PLAN}")
 def request_plan(spark, d):
     """The plan of requests (the mapping table, with its order)."""
-    return tiles.mapping(_requests(spark, d)).join(_requests(spark, d).select("group_id", "file_name", "seq"), ["group_id", "file_name"]).withColumns({"centroid_lon": _r6("centroid_lon"), "centroid_lat": _r6("centroid_lat")})
+    return _requests(spark, d).select(*tiles.MAPPING, "seq").withColumns({"centroid_lon": _r6("centroid_lon"), "centroid_lat": _r6("centroid_lat")})
 
 
 @query(f"SELECT is_multi_group, zoom, release_id, year, count(*) AS requests, count(DISTINCT group_id) AS groups FROM {_PLAN} GROUP BY ALL")
@@ -165,9 +165,12 @@ def todo_tiles(spark, d):
 @query(f"SELECT r.group_id, count(*) AS requests, count(DISTINCT {_KEY.replace('release_id, zoom, x, y', 'r.release_id, r.zoom, r.x, r.y')}) AS tiles, min(t.seq) AS first_seq FROM {_COARSE} r JOIN {_UNIQUE} t USING (release_id, zoom, x, y) GROUP BY r.group_id")
 def tile_groups(spark, d):
     """Groups rebuilt from requests and unique tiles."""
-    coarse = tiles.with_key(_coarse(spark, d)).select("group_id", "key")
-    unique = tiles.with_key(tiles.unique_tiles(_coarse(spark, d))).select("key", "seq")
-    return coarse.join(unique, "key").groupBy("group_id").agg(F.count("*").alias("requests"), F.countDistinct("key").alias("tiles"), F.min("seq").alias("first_seq"))
+    name = geo.file_name(*tiles.TILE_KEYS).alias("file_name")
+    mapped = _coarse(spark, d).select("group_id", name)
+    content = F.encode(F.col("seq").cast("string"), "UTF-8").alias("image_bytes")
+    unique = tiles.unique_tiles(_coarse(spark, d)).select(name, geo.tile_center_lat("y", "zoom").alias("tile_lat"), geo.tile_center_lon("x", "zoom").alias("tile_lon"), content)
+    first = F.min(F.decode("image_bytes", "UTF-8").cast("long")).alias("first_seq")
+    return tiles.tile_groups(mapped, unique).groupBy("group_id").agg(F.count("*").alias("requests"), F.countDistinct("file_name").alias("tiles"), first)
 
 
 @query("""SELECT k AS cell_seq, greatest(0, least(e, 1000 - k * e))::BIGINT AS quota, (1000 // n + (k < 1000 % n)::BIGINT)::BIGINT AS balanced
@@ -204,8 +207,7 @@ def region_sample(spark, d):
     cells = nation.select(F.col("k").alias("cell_id"), (F.pmod("k", F.lit(5)) * 60.0 - 150).alias("min_x"), (F.floor(F.col("k") / 5) * 30.0 - 75).alias("min_y"))
     cells = cells.withColumns({"max_x": F.col("min_x") + 60, "max_y": F.col("min_y") + 30})
     region = F.array(F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in ring)) for ring in _POLYGON)))
-    keep = F.col("cell_id").isin(6, 7, 8, 11, 12, 13)
-    return sampling.sample_in_region(cells.where(keep), region, 600)
+    return sampling.sample_in_region(cells, region, 600)
 
 
 @query(f"SELECT release, count(*) AS groups FROM (SELECT unnest(rs) AS release FROM (SELECT {_draw('id', 'shareR', list(geo.RELEASE_YEARS), None, '2')} AS rs FROM {_POINTS})) GROUP BY release")
@@ -235,16 +237,31 @@ def keyword_counts(spark, d):
 @query("SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1")
 def caption_success(spark, d):
     """successful rows only."""
-    ok = _read(spark, d, "labels").where("quality = 1").select("doc_id", "quality")
-    return _read(spark, d, "documents").select("doc_id", "lang", "source").join(ok, "doc_id")
+    rows = _labelled(spark, d).select("doc_id", "lang", "source", "quality", "status")
+    return captions.successes(rows)
 
 
-@query("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'success' ELSE 'failed' END AS status, coalesce(CASE WHEN l.quality = 1 THEN substr(d.text, 1, 80) END, 'None') AS caption FROM documents d JOIN labels l USING (doc_id)")
+def _labelled(spark, d):
+    status = F.when(F.col("quality") == 1, "success").otherwise("failed: quality").alias("status")
+    return _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id", "quality"), "doc_id").select("*", status)
+
+
+@query("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'success' ELSE 'failed: quality' END AS status, coalesce(CASE WHEN l.quality = 1 THEN d.text END, 'None') AS caption FROM documents d JOIN labels l USING (doc_id)")
+def caption_status(spark, d):
+    """Status and caption of each labelled row, the word None where there is none."""
+    kept = F.when(F.col("status") == "success", F.col("text"))
+    return _labelled(spark, d).select("doc_id", "status", text.caption_text(kept, compat=True).alias("caption"))
+
+
+@query("""SELECT d.doc_id::VARCHAR AS img_name, concat_ws(' ', nullif(d.text, ''), nullif(d.source, ''), nullif(d.lang, '')) AS caption, octet_length(encode(coalesce(d.text, '')))::INTEGER AS n_bytes
+FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND concat_ws(' ', nullif(d.text, ''), nullif(d.source, ''), nullif(d.lang, '')) <> ''""")
 def caption_assemble(spark, d):
-    """A caption for each labelled row, the word None where there is none."""
-    joined = _read(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("text")).join(_read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    ok = F.col("quality") == 1
-    return joined.select("doc_id", F.when(ok, "success").otherwise("failed").alias("status"), text.caption_text(F.when(ok, F.col("text")), compat=True).alias("caption"))
+    """Captions joined to their images, all parts of a caption together."""
+    answers = F.col("text").alias("scene_caption"), F.col("source").alias("spatial_dense_caption"), F.col("lang").alias("keywords")
+    answered = _labelled(spark, d).select(F.col("doc_id").cast("string").alias("id"), *answers, "status")
+    images = _read(spark, d, "documents").select(F.col("doc_id").alias("img_name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("image_bytes"))
+    joined = captions.assemble(captions.successes(answered), images, "all")
+    return joined.select("img_name", "caption", F.octet_length("image_bytes").alias("n_bytes"))
 
 
 # File names of several shapes made of page numbers.
@@ -433,15 +450,9 @@ def _pairs(spark, d):
     return image.join(caption, ["batch_id", "i"])
 
 
-@query(_loss("a.vec_id < 128"))
-def contrastive_loss(spark, d):
-    """The first batch."""
-    return contrastive.contrastive_loss(_pairs(spark, d).where("batch_id = 0")).select("batch_id", _r6("loss").alias("loss"))
-
-
 @query(_loss("a.vec_id // 128 < (SELECT count(*) // 128 FROM embeddings)"))
 def contrastive_loss_by_batch(spark, d):
-    """Every full batch."""
+    """Every full batch."""
     pairs = _pairs(spark, d)
     full = pairs.groupBy("batch_id").agg(F.count("*").alias("n")).where("n = 64").select("batch_id")
     return contrastive.contrastive_loss(pairs.join(full, "batch_id")).select("batch_id", _r6("loss").alias("loss"))

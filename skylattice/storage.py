@@ -59,12 +59,14 @@ def partitions_for(df: DataFrame, partition_bytes: int = 128 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, -(-size // partition_bytes)))
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = 200_000) -> bool:
-    """Whether a table (materialised, or cheap to count) has so few rows that it may be broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> bool:
+    """Whether a table (materialised, or cheap to count) has so few rows and bytes (as JSON) that it may be broadcast."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Column | list[str] | str, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """Join a table that is expected to be small: broadcast when its counted rows allow, else a shuffled join,
+    """Join a table that is expected to be small: broadcast when its counted rows and bytes allow, else a shuffled join,
     which adaptive execution splits where a key is frequent."""
     return big.join(F.broadcast(small) if fits_broadcast(small, max_rows) else small, on, how)

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skylattice import storage
+from skylattice.functions import text
 from skylattice.functions.random_u import uniform
 from skylattice.operators import captions, contrastive, fetch, models, provision, retrieval, sampling, tiles
 from skylattice.sources import config, geo_files, images, tables, writers
@@ -49,6 +51,47 @@ def test_sampling_fails_where_no_cell_overlaps(spark):
         sampling.sample_in_region(grid(spark), geo_files.region_literal([far]), 10)
 
 
+def test_cells_outside_a_concave_or_parted_region_get_no_quota(spark):
+    """Cells of the region's box that miss the region, touch it, or lie in a hole have no share."""
+    nine = [(i, 10.0 * (i % 3), 10.0 * (i // 3), 10.0 * (i % 3) + 10, 10.0 * (i // 3) + 10) for i in range(9)]
+    cells = spark.createDataFrame(nine, "cell_id int, min_x double, min_y double, max_x double, max_y double")
+    ring = lambda *p: [[float(x), float(y)] for x, y in (*p, p[0])]
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d))
+    shapes = {
+        "c": ([[ring((0, 0), (30, 0), (30, 10), (10, 10), (10, 20), (30, 20), (30, 30), (0, 30))]], {0, 1, 2, 3, 6, 7, 8}),
+        "parts": ([[box(1, 1, 9, 9)], [box(21, 21, 29, 29)], [box(-5, -5, 0, 0)]], {0, 8}),
+        "hole": ([[box(0, 0, 30, 30), box(10, 10, 20, 20)]], {0, 1, 2, 3, 5, 6, 7, 8}),
+        "inside one cell": ([[box(12, 12, 13, 13)]], {4}),
+        "around all": ([[box(-9, -9, 99, 99)]], set(range(9))),
+        "diagonal": ([[ring((0, 1), (29, 30), (0, 30))]], {0, 3, 4, 6, 7, 8}),
+    }
+    for name, (region, want) in shapes.items():
+        literal = geo_files.region_literal(region)
+        assert {r.cell_id for r in sampling.overlapping_cells(cells, literal).collect()} == want, name
+        got = sampling.sample_in_region(cells, literal, 45).collect()
+        assert len(got) == 45 and sorted(r.seq for r in got) == list(range(45)), name
+
+
+def test_sampling_fills_a_sliver(spark):
+    """A cell of which the region covers a five-hundredth takes more rounds, each of twice the draws."""
+    sliver = [[[0.0, 0.0], [5.0, 0.0], [5.0, 5.0], [0.0, 5.0], [0.0, 0.0]], [[5.0, 5.0], [10.0, 5.02], [10.0, 5.0], [5.0, 5.0]]]
+    got = sampling.sample_in_region(grid(spark), geo_files.region_literal([[sliver[0]], [sliver[1]], [[[9.9, 9.9], [10.0, 9.9], [10.0, 10.0], [9.9, 9.9]]]]), 40)
+    assert got.count() == 40
+
+
+def test_many_keywords_in_one_text(spark):
+    words = [f"Word {i % 4000}" if i % 2 else f"WORD {i % 4000}" for i in range(40_000)]
+    got = spark.createDataFrame([(", ".join(words),), (None,), (" , ",)], "raw string").select(text.keyword_list("raw").alias("k")).collect()
+    first = list({w.lower(): w for w in reversed(words)}.items())
+    order = {w: i for i, w in reversed(list(enumerate(x.lower() for x in words)))}
+    assert got[0].k == [w for _, w in sorted(first, key=lambda p: order[p[0]])] and got[1].k == got[2].k == []
+
+
+def test_broadcast_by_rows_and_bytes(spark):
+    small = spark.range(10).selectExpr("id", "repeat('x', 1000) AS s")
+    assert storage.fits_broadcast(small) and not storage.fits_broadcast(small, max_rows=9) and not storage.fits_broadcast(small, max_bytes=9000)
+
+
 def requests(spark, n=50):
     points = spark.range(n).select(F.col("id").alias("seq"), (uniform("id", 1) * 10).alias("lon"), (uniform("id", 2) * 10).alias("lat"))
     return sampling.request_plan(sampling.split_multi(points, "seq"), "seq")

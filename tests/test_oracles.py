@@ -31,4 +31,7 @@ def test_entry_without_the_optional_folders(tmp_path):
     repo = Path(__file__).parent.parent
     shutil.copytree(repo, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'tile_index' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q)"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, check=True)
+    for left in (False, True):  # the pipeline's file may stay behind
+        if left:
+            (tmp_path / "r" / "corpus_pipeline.py").write_text("from skylattice.llm import mixing")
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, check=True)
