@@ -40,7 +40,7 @@ from pyspark.sql.window import Window as W
 from skylattice.llm.arrow import map_batches
 from skylattice.storage import materialise
 
-MAX_EXAMPLES, MAX_BYTES, NEIGHBOURS, BLOCK = 2048, 32 << 20, 15, 64
+MAX_EXAMPLES, MAX_BYTES, NEIGHBOURS, BLOCK = 1024, 16 << 20, 15, 64
 #: Letters of a word's beginning that are terms as well.
 STEMS = (4, 5)
 #: How much a term weighs more for each unit by which its log ratio of rates, less some standard errors, is over MIN_LOG_RATE.
@@ -206,7 +206,7 @@ class BlockMaxIndex:
         np.put_along_axis(seen, np.argsort(-bound, axis=1)[:, :2], True, axis=1)
         visit(seen)
         kth = np.partition(scores, width - k, axis=1)[:, width - k] if width >= k else np.full(n, -1)
-        visit((bound >= np.maximum(kth, 0)[:, None] - 1e-4) & (bound > 0) & ~seen)
+        visit((bound >= np.maximum(kth, 0)[:, None] - 1e-5) & (bound > 0) & ~seen)
         return scores
 
     def nearest(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, skip: np.ndarray | None = None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -234,12 +234,11 @@ class BlockMaxIndex:
     def _exact(self, scores: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest among those whose approximate cosine could be."""
         kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0
-        places = np.flatnonzero((scores > 0) & (scores >= kth - 1e-4))
+        places = np.flatnonzero((scores > 0) & (scores >= kth - 1e-5))
         if not len(places):
             return places, np.zeros(0)
-        sizes = self.starts[places + 1] - self.starts[places]
-        at = _spread(self.starts[places], sizes)
-        cosines = np.round(np.add.reduceat(query[self.terms[at]] * self.values[at], np.cumsum(sizes) - sizes), 12)
+        runs = zip(self.starts[places].tolist(), self.starts[places + 1].tolist())
+        cosines = np.array([self.values[x:y] @ query[self.terms[x:y]] for x, y in runs]).round(12)
         best = np.lexsort((places, -cosines))[:k]
         return places[best], cosines[best]
 
