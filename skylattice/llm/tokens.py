@@ -40,7 +40,7 @@ SHARD_TOKENS = 1 << 20
 BLOCK = 4096
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes of a plane that are packed together.
 CHUNK_BYTES = 1 << 13
 MAGIC = b"WVM2"
