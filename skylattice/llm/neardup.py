@@ -2,12 +2,14 @@
 
 Texts of equal shingles are grouped first. Their SimHash fingerprints go through the pivot tables of ``simhash``, whose
 links propose the first pairs. A Jaccard similarity of 0.8 means some ten differing bits of 64, and up to twenty by
-chance, for which neither pivots nor blocks of bits prune: the links of three bits are completed by ``BANDS`` keys of
-``BAND_ROWS`` minima of each text; a pair at exactly 0.8 shares none with a probability of 5e-8. Every proposed pair is
-verified on its shingles.
+chance, for which neither pivots nor blocks of bits prune: the links of three bits are completed by keys of a few MinHash minima
+of each text. Every proposed pair is verified on its shingles.
 
 The members of a bucket are verified against its smallest; then all pairs of a bucket that the links so far leave in
-different components. A large bucket of copies thus costs a pair for each member.
+different components, where the bucket has at most ``MAX_BUCKET`` members. The members of larger ones, such as texts that
+share a frequent passage, are dealt again by keys of more minima, as many as keep the probability of a miss as low
+(``LEVELS``); at the last level buckets of any size are compared. A large bucket of copies thus costs a pair for each
+member.
 
 Words are those of ``simhash.fingerprint``. A text of fewer than ``WIDTH`` words is one shingle; null and empty texts have
 none and are equal. Very long texts are hashed in pieces and compared as sets. Of repeated rows one stays. Extra columns
@@ -29,12 +31,16 @@ from skylattice.llm.simhash import fingerprint_links, majority
 from skylattice.storage import materialise
 
 WIDTH = 5
-BANDS, BAND_ROWS = 32, 4
+#: (minima in a key, keys of a text): a pair at exactly 0.8 shares no key of a level with a probability of 5e-8 or less.
+LEVELS = ((4, 32), (8, 96), (12, 240))
+#: Members of a bucket that are compared with each other before the last level.
+MAX_BUCKET = 32
 #: Similarity from which texts are near-duplicates, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _draw = lambda name, n: np.array([xxhash.xxh64_intdigest(f"{name} {i}") for i in range(n)], np.uint64)
-_FACTORS, _SHIFTS, _MIX = _draw("minhash factor", BANDS * BAND_ROWS) | np.uint64(1), _draw("minhash shift", BANDS * BAND_ROWS), _draw("minhash mix", BAND_ROWS) | np.uint64(1)
+#: Factors and shifts of the hash functions of each level, and the factors that make a key of minima.
+_FUNCTIONS = [(_draw(f"minhash factor {r}", r * n) | np.uint64(1), _draw(f"minhash shift {r}", r * n), _draw(f"minhash mix {r}", r) | np.uint64(1)) for r, n in LEVELS]
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -46,14 +52,15 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, found), np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
+def bands(hashes: np.ndarray, level: int = 0) -> np.ndarray:
     """Keys of a set of shingles; none for the empty set."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):  # a very long text in pieces
-        least = np.minimum(least, (hashes[i : i + 4096, None] * _FACTORS + _SHIFTS).min(axis=0))
-    return (least.reshape(BANDS, BAND_ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+    factors, shifts, mix = _FUNCTIONS[level]
+    least, step = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64), (1 << 19) // len(factors)
+    for i in range(0, len(hashes), step):  # a very long text in pieces
+        least = np.minimum(least, (hashes[i : i + step, None] * factors + shifts).min(axis=0))
+    return (least.reshape(-1, len(mix)) * mix).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def _sketches(marked: DataFrame) -> DataFrame:
@@ -104,34 +111,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(pairs.where((over + under) * common >= over * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "near")
 
 
-def _links(marked: DataFrame, distinct: DataFrame) -> DataFrame:
+def _members(keys: DataFrame) -> DataFrame:
+    """Rows (t, part, sig, lo) of the buckets of two or more sets; lo is the smallest of the bucket. ``keys``: sig, bands."""
+    each = keys.select("sig", F.posexplode("bands").alias("t", "part"))
+    buckets = each.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("sig").alias("lo")).where("n > 1").drop("n")
+    return materialise(each.join(materialise(buckets, "buckets"), ["t", "part"]), "members")
+
+
+def _dealt_again(sets: DataFrame, level: int) -> DataFrame:
+    """Rows (sig, bands) with the keys of a level."""
+
+    def run(batch):
+        items = batch.column("items")
+        flat, ends = items.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(items.value_lengths().to_numpy())
+        return {"sig": batch.column("sig"), "bands": [bands(x, level) for x in np.split(flat, ends[:-1])]}
+
+    return materialise(map_batches(sets.select("sig", "items"), run, "sig long, bands array<long>"), "dealt-again")
+
+
+def _links(marked: DataFrame, distinct: DataFrame, max_bucket: int) -> DataFrame:
     """Links (a, b) that connect all distinct sets (sig, __text_hash, fp, bands) that are similar to another."""
-    linked = materialise(_fingerprint_pairs(distinct), "fingerprint-pairs")
-    keys = distinct.select("sig", F.posexplode("bands").alias("t", "part"))
-    buckets = materialise(keys.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("sig").alias("lo")).where("n > 1").drop("n"), "buckets")
-    members = materialise(keys.join(buckets, ["t", "part"]), "members")
-    asked = members.select("sig").unionByName(linked.select(F.explode(F.array("a", "b")).alias("sig"))).distinct()
+    proposed = materialise(_fingerprint_pairs(distinct), "fingerprint-pairs")
+    members = _members(distinct.select("sig", "bands"))
+    asked = members.select("sig").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("sig"))).distinct()
     sets = _sets(marked, distinct.select("sig", "__text_hash").join(asked, "sig"))
-    stars = members.where("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b"))
-    stars = materialise(linked.unionByName(stars).distinct(), "stars")
-    near = _verified(stars, sets)
-    roots = materialise(components(near, "a", "b"), "roots")
-    labelled = materialise(members.join(roots, members.sig == roots.node, "left").select("t", "part", "sig", F.coalesce("root", "sig").alias("label")), "labelled")
-    apart = labelled.groupBy("t", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t", "part")
-    left = materialise(labelled.join(apart, ["t", "part"]), "apart")
-    other = left.select("t", "part", F.col("sig").alias("b"), F.col("label").alias("label_b"))
-    rest = left.withColumnRenamed("sig", "a").join(other, ["t", "part"]).where("a < b and label <> label_b").select("a", "b").distinct()
-    return near.unionByName(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets))
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
+    found = None
+    for level in range(len(LEVELS)):
+        stars = members.where("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b"))
+        stars = materialise((stars if level else proposed.unionByName(stars)).distinct(), "stars")
+        near = _verified(stars, sets)
+        found = near if found is None else found.unionByName(near)
+        roots = materialise(components(found, "a", "b"), "roots")
+        labelled = materialise(members.join(roots, members.sig == roots.node, "left").select("t", "part", "sig", F.coalesce("root", "sig").alias("label")), "labelled")
+        spans = labelled.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        apart = materialise(spans.where("lo <> hi").select("t", "part", "n"), "apart")
+        fits = F.lit(True) if level == len(LEVELS) - 1 else F.col("n") <= max_bucket
+        left = materialise(labelled.join(apart.where(fits).select("t", "part"), ["t", "part"]), "left")
+        other = left.select("t", "part", F.col("sig").alias("b"), F.col("label").alias("label_b"))
+        rest = left.withColumnRenamed("sig", "a").join(other, ["t", "part"]).where("a < b and label <> label_b").select("a", "b").distinct()
+        found = found.unionByName(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets))
+        crowded = apart.where(~fits).select("t", "part")
+        if not crowded.limit(1).count():
+            break
+        again = materialise(labelled.join(crowded, ["t", "part"]).select("sig").distinct(), "crowded")
+        members = _members(_dealt_again(sets.join(again, "sig"), level + 1))
+    return found
+
+
+def deduplicate(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that of the smallest doc_id (null last, then the smallest
     text hash; of rows equal in both, one)."""
     marked = docs.withColumn("__text_hash", F.xxhash64("text"))
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text_hash")).alias("first")
     sketches = materialise(_sketches(marked), "sketches")
     distinct = materialise(sketches.groupBy("sig").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).withColumn("__text_hash", F.col("first.__text_hash")), "sets")
-    roots = materialise(components(_links(marked, distinct), "a", "b"), "roots")
+    roots = materialise(components(_links(marked, distinct, max_bucket), "a", "b"), "roots")
     kept = distinct.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("root", "sig").alias("c")).agg(F.min("first").alias("first"))
     kept = materialise(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.__text_hash").alias("__hash")), "kept")
     rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from skylattice.llm import simhash
+from skylattice.llm import neardup, simhash
 
 
 def shingles(text):
@@ -30,7 +32,7 @@ def corpus():
     return rows + [(0, rows[5][1]), (None, "text without an id in the table")]
 
 
-def test_stage_against_brute_force(spark):
+def test_stage_against_brute_force(spark, monkeypatch):
     rows = corpus()
     sets = [shingles(t) for _, t in rows]
     label = list(range(len(rows)))
@@ -45,3 +47,19 @@ def test_stage_against_brute_force(spark):
     assert got.columns == docs.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == want
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+    dealt = []
+    again = neardup._dealt_again
+    monkeypatch.setattr(neardup, "_dealt_again", lambda sets, level: dealt.append(level) or again(sets, level))
+    assert sorted(str(r.doc_id) for r in neardup.deduplicate(docs, max_bucket=2).collect()) == want
+    assert dealt == [1, 2]  # crowded buckets went through all levels
+
+
+def test_keys_of_each_level_meet_at_the_similarity():
+    for rows, keys in neardup.LEVELS:
+        assert (1 - 0.8**rows) ** keys <= 5e-8
+    r = np.random.default_rng(5)
+    a = np.unique(r.integers(0, 2**63, 900, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[:800], r.integers(0, 2**63, 100, dtype=np.uint64)]))  # a similarity of 0.8
+    for level, (_, keys) in enumerate(neardup.LEVELS):
+        assert len(neardup.bands(a, level)) == keys and set(neardup.bands(a, level)) & set(neardup.bands(b, level))
+        assert not len(neardup.bands(a[:0], level))
