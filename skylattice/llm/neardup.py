@@ -112,50 +112,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _members(keys: DataFrame) -> DataFrame:
-    """Rows (t, part, sig, lo) of the buckets of two or more sets; lo is the smallest of the bucket. ``keys``: sig, bands."""
-    each = keys.select("sig", F.posexplode("bands").alias("t", "part"))
-    buckets = each.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("sig").alias("lo")).where("n > 1").drop("n")
-    return materialise(each.join(materialise(buckets, "buckets"), ["t", "part"]), "members")
+    """Rows (t, part, sig, lo) of the buckets whose sets have different labels; lo is the smallest of the bucket.
+    ``keys``: sig, label, bands."""
+    each = keys.select("sig", "label", F.posexplode("bands").alias("t", "part"))
+    buckets = each.groupBy("t", "part").agg(F.min("sig").alias("lo"), F.min("label").alias("least"), F.max("label").alias("most"))
+    buckets = materialise(buckets.where("least <> most").select("t", "part", "lo"), "buckets")
+    return materialise(each.drop("label").join(buckets, ["t", "part"]), "members")
 
 
 def _dealt_again(sets: DataFrame, level: int) -> DataFrame:
-    """Rows (sig, bands) with the keys of a level."""
+    """Rows (sig, label, bands) with the keys of a level."""
 
     def run(batch):
         items = batch.column("items")
         flat, ends = items.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(items.value_lengths().to_numpy())
-        return {"sig": batch.column("sig"), "bands": [bands(x, level) for x in np.split(flat, ends[:-1])]}
+        return {"sig": batch.column("sig"), "label": batch.column("label"), "bands": [bands(x, level) for x in np.split(flat, ends[:-1])]}
 
-    return materialise(map_batches(sets.select("sig", "items"), run, "sig long, bands array<long>"), "dealt-again")
+    return materialise(map_batches(sets.select("sig", "label", "items"), run, "sig long, label long, bands array<long>"), "dealt-again")
 
 
-def _links(marked: DataFrame, distinct: DataFrame, max_bucket: int) -> DataFrame:
-    """Links (a, b) that connect all distinct sets (sig, __text_hash, fp, bands) that are similar to another."""
+def _joined(roots: DataFrame | None, near: DataFrame) -> DataFrame:
+    """Rows (node, root) of ``roots`` (None: no links yet) after the links ``near`` (a, b). Only links between different
+    roots go into the rounds of ``components``: what earlier links joined isn't joined again."""
+    if roots is None:
+        return materialise(components(near, "a", "b"), "roots")
+    for end in "ab":
+        near = near.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    across = near.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = materialise(components(across, "a", "b"), "roots-above")
+    moved = roots.join(above.withColumnsRenamed({"root": "top", "node": "root"}), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialise(moved.unionByName(above).distinct(), "roots")
+
+
+def _roots(marked: DataFrame, distinct: DataFrame, max_bucket: int) -> DataFrame:
+    """Rows (node, root) for all distinct sets (sig, __text_hash, fp, bands) that are similar to another. The pairs that
+    a level leaves are verified together with the stars of the next one."""
     proposed = materialise(_fingerprint_pairs(distinct), "fingerprint-pairs")
-    members = _members(distinct.select("sig", "bands"))
+    members = _members(distinct.select("sig", F.col("sig").alias("label"), "bands"))
     asked = members.select("sig").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("sig"))).distinct()
     sets = _sets(marked, distinct.select("sig", "__text_hash").join(asked, "sig"))
-    found = None
+    roots = None
     for level in range(len(LEVELS)):
+        last = level == len(LEVELS) - 1
         stars = members.where("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b"))
-        stars = materialise((stars if level else proposed.unionByName(stars)).distinct(), "stars")
-        near = _verified(stars, sets)
-        found = near if found is None else found.unionByName(near)
-        roots = materialise(components(found, "a", "b"), "roots")
-        labelled = materialise(members.join(roots, members.sig == roots.node, "left").select("t", "part", "sig", F.coalesce("root", "sig").alias("label")), "labelled")
-        spans = labelled.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        apart = materialise(spans.where("lo <> hi").select("t", "part", "n"), "apart")
-        fits = F.lit(True) if level == len(LEVELS) - 1 else F.col("n") <= max_bucket
+        roots = _joined(roots, _verified(proposed.unionByName(stars).distinct(), sets))
+        labelled = materialise(members.join(roots, members.sig == roots.node, "left").select("t", "part", "lo", "sig", F.coalesce("root", "sig").alias("label")), "labelled")
+        spans = labelled.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+        apart = materialise(spans.where("least <> most").select("t", "part", "n"), "apart")
+        fits = F.lit(True) if last else F.col("n") <= max_bucket
         left = materialise(labelled.join(apart.where(fits).select("t", "part"), ["t", "part"]), "left")
         other = left.select("t", "part", F.col("sig").alias("b"), F.col("label").alias("label_b"))
-        rest = left.withColumnRenamed("sig", "a").join(other, ["t", "part"]).where("a < b and label <> label_b").select("a", "b").distinct()
-        found = found.unionByName(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets))
+        rest = left.withColumnRenamed("sig", "a").join(other, ["t", "part"])
+        proposed = rest.where("a < b and a <> lo and label <> label_b").select("a", "b")  # lo's pairs were the stars
         crowded = apart.where(~fits).select("t", "part")
-        if not crowded.limit(1).count():
+        if last or not crowded.limit(1).count():
             break
-        again = materialise(labelled.join(crowded, ["t", "part"]).select("sig").distinct(), "crowded")
+        again = labelled.join(crowded, ["t", "part"]).select("sig", "label").distinct()
         members = _members(_dealt_again(sets.join(again, "sig"), level + 1))
-    return found
+    return _joined(roots, _verified(proposed.distinct(), sets))
 
 
 def deduplicate(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -165,7 +179,7 @@ def deduplicate(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text_hash")).alias("first")
     sketches = materialise(_sketches(marked), "sketches")
     distinct = materialise(sketches.groupBy("sig").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).withColumn("__text_hash", F.col("first.__text_hash")), "sets")
-    roots = materialise(components(_links(marked, distinct, max_bucket), "a", "b"), "roots")
+    roots = _roots(marked, distinct, max_bucket)
     kept = distinct.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("root", "sig").alias("c")).agg(F.min("first").alias("first"))
     kept = materialise(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.__text_hash").alias("__hash")), "kept")
     rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
