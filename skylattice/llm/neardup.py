@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from skylattice.llm.arrow import map_batches, text_bytes
 from skylattice.llm.components import components
 from skylattice.llm.simhash import fingerprint_links, majority
-from skylattice.storage import materialise
+from skylattice.storage import materialise, release
 
 WIDTH = 5
 #: (minima in a key, keys of a text): a pair at exactly 0.8 shares no key of a level with a probability of 5e-8 or less.
@@ -104,11 +104,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = sets.select("sig", "n")
     for end in "ab":
         pairs = pairs.join(sizes.withColumnsRenamed({"sig": end, "n": f"n_{end}"}), end)
-    pairs = materialise(pairs.where(under * F.least("n_a", "n_b") >= over * F.greatest("n_a", "n_b")), "proposed")
+    pairs = fitting = materialise(pairs.where(under * F.least("n_a", "n_b") >= over * F.greatest("n_a", "n_b")), "proposed")
     for end in "ab":
         pairs = pairs.join(sets.select(F.col("sig").alias(end), F.col("items").alias(f"items_{end}")), end)
     common = F.size(F.array_intersect("items_a", "items_b"))
-    return materialise(pairs.where((over + under) * common >= over * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "near")
+    near = materialise(pairs.where((over + under) * common >= over * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "near")
+    release(fitting)
+    return near
 
 
 def _members(keys: DataFrame) -> DataFrame:
@@ -117,7 +119,9 @@ def _members(keys: DataFrame) -> DataFrame:
     each = keys.select("sig", "label", F.posexplode("bands").alias("t", "part"))
     buckets = each.groupBy("t", "part").agg(F.min("sig").alias("lo"), F.min("label").alias("least"), F.max("label").alias("most"))
     buckets = materialise(buckets.where("least <> most").select("t", "part", "lo"), "buckets")
-    return materialise(each.drop("label").join(buckets, ["t", "part"]), "members")
+    members = materialise(each.drop("label").join(buckets, ["t", "part"]), "members")
+    release(buckets)
+    return members
 
 
 def _dealt_again(sets: DataFrame, level: int) -> DataFrame:
@@ -133,15 +137,20 @@ def _dealt_again(sets: DataFrame, level: int) -> DataFrame:
 
 def _joined(roots: DataFrame | None, near: DataFrame) -> DataFrame:
     """Rows (node, root) of ``roots`` (None: no links yet) after the links ``near`` (a, b). Only links between different
-    roots go into the rounds of ``components``: what earlier links joined isn't joined again."""
+    roots go into the rounds of ``components``: what earlier links joined isn't joined again. Both tables are deleted."""
+    links = near
     if roots is None:
-        return materialise(components(near, "a", "b"), "roots")
+        joined = materialise(components(near, "a", "b"), "roots")
+        release(links)
+        return joined
     for end in "ab":
         near = near.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     across = near.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     above = materialise(components(across, "a", "b"), "roots-above")
     moved = roots.join(above.withColumnsRenamed({"root": "top", "node": "root"}), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return materialise(moved.unionByName(above).distinct(), "roots")
+    joined = materialise(moved.unionByName(above).distinct(), "roots")
+    release(links, above, roots)
+    return joined
 
 
 def _roots(marked: DataFrame, distinct: DataFrame, max_bucket: int) -> DataFrame:
@@ -151,12 +160,14 @@ def _roots(marked: DataFrame, distinct: DataFrame, max_bucket: int) -> DataFrame
     members = _members(distinct.select("sig", F.col("sig").alias("label"), "bands"))
     asked = members.select("sig").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("sig"))).distinct()
     sets = _sets(marked, distinct.select("sig", "__text_hash").join(asked, "sig"))
-    roots = None
+    roots, read = None, [proposed]
     for level in range(len(LEVELS)):
         last = level == len(LEVELS) - 1
         stars = members.where("sig <> lo").select(F.col("lo").alias("a"), F.col("sig").alias("b"))
         roots = _joined(roots, _verified(proposed.unionByName(stars).distinct(), sets))
+        release(*read)
         labelled = materialise(members.join(roots, members.sig == roots.node, "left").select("t", "part", "lo", "sig", F.coalesce("root", "sig").alias("label")), "labelled")
+        release(members)
         spans = labelled.groupBy("t", "part").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
         apart = materialise(spans.where("least <> most").select("t", "part", "n"), "apart")
         fits = F.lit(True) if last else F.col("n") <= max_bucket
@@ -168,8 +179,12 @@ def _roots(marked: DataFrame, distinct: DataFrame, max_bucket: int) -> DataFrame
         if last or not crowded.limit(1).count():
             break
         again = labelled.join(crowded, ["t", "part"]).select("sig", "label").distinct()
-        members = _members(_dealt_again(sets.join(again, "sig"), level + 1))
-    return _joined(roots, _verified(proposed.distinct(), sets))
+        dealt = _dealt_again(sets.join(again, "sig"), level + 1)
+        members, read = _members(dealt), [left]
+        release(dealt, labelled, apart)
+    joined = _joined(roots, _verified(proposed.distinct(), sets))
+    release(left, labelled, apart, sets)
+    return joined
 
 
 def deduplicate(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -179,8 +194,10 @@ def deduplicate(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text_hash")).alias("first")
     sketches = materialise(_sketches(marked), "sketches")
     distinct = materialise(sketches.groupBy("sig").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).withColumn("__text_hash", F.col("first.__text_hash")), "sets")
+    release(sketches)
     roots = _roots(marked, distinct, max_bucket)
     kept = distinct.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("root", "sig").alias("c")).agg(F.min("first").alias("first"))
     kept = materialise(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.__text_hash").alias("__hash")), "kept")
+    release(distinct, roots)
     rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
     return rows.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
