@@ -55,8 +55,14 @@ def transform(docs: DataFrame, transformed: int = TRANSFORMED, suffix_first: int
 def restore(output: Column | str, form: Column | str) -> Column:
     """The text that an output of a form was made of: its parts, as found between the sentinels, in their first order."""
     output, form = (F.col(x) if isinstance(x, str) else x for x in (output, form))
-    between = F.split(output, f"{PREFIX}|{SUFFIX}|{MIDDLE}", 4)  # nothing before the first sentinel
-    psm, spm = F.concat(between[1], between[3], between[2]), F.concat(between[2], between[3], between[1])
+
+    def parsed(first: str, second: str) -> tuple[Column, Column, Column]:
+        """``first`` a ``second`` b ``MIDDLE`` c: the parts a, b, c."""
+        head, tail = F.substring_index(output, second, 1), F.substring_index(output, second, -1)
+        return F.substr(head, F.lit(len(first) + 1)), F.substring_index(tail, MIDDLE, 1), F.substring_index(tail, MIDDLE, -1)
+
+    (p, s, m), (s2, p2, m2) = parsed(PREFIX, SUFFIX), parsed(SUFFIX, PREFIX)
+    psm, spm = F.concat(p, m, s), F.concat(p2, m2, s2)
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
 
 
