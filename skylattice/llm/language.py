@@ -141,7 +141,8 @@ def _scored(marked: DataFrame, docs: DataFrame, text_weight: float, lang_block:
 
 def _features(url: str = "url", html: str = "html") -> dict[str, Column]:
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    declared = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
+    tag = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b([^>]*+)", 1)  # one cut: no search begins at every tag
+    declared = F.lower(F.regexp_extract(tag, r"(?i)\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})\b", 1))
     return {
         "host": host,
         "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),

@@ -31,6 +31,8 @@ MAX_REPEATS = 3
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)))
 RANGE_ROWS = 128
 COARSE_BITS = 10
+#: Copies of a row that one task makes.
+COPIES_AT_ONCE = 1 << 16
 HASH_BITS = 60
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,15 +95,28 @@ def _ranges(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sizes with ``before``: the words of the source that come before the document."""
+    """Distinct sizes with ``copies`` and ``before``: the words of the source that come before the first of them."""
     ranged = _ranges(sizes, targets)
     fine = materialise(ranged.groupBy("key", "coarse", "fine").agg(F.sum("size").alias("n")), "mix-ranges")
     earlier = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
     total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     bases = fine.groupBy("key", "coarse").agg(F.sum("n").alias("n")).select("key", "coarse", total("n", earlier("key", "coarse")).alias("base"))
     starts = fine.join(bases, ["key", "coarse"]).select("key", "fine", (F.col("base") + total("n", earlier("key", "coarse", "fine"))).alias("start"))
+    # rows equal in all of this are counted first: however many there are, they are one row of a window
+    same = ranged.groupBy(*ranged.columns).agg(F.count("*").alias("copies"))
     inside = W.partitionBy("key", "fine").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    return join_small(ranged, materialise(starts, "mix-starts"), ["key", "fine"]).withColumn("before", F.col("start") + total("size", inside))
+    placed = join_small(same, materialise(starts, "mix-starts"), ["key", "fine"])
+    return placed.withColumn("before", F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+
+
+def _each_copy(placed: DataFrame) -> DataFrame:
+    """A row for each copy, one after another; groups of many copies are dealt to several tasks."""
+    placed = materialise(placed, "mix-placed")
+    few, many = placed.where(F.col("copies") <= COPIES_AT_ONCE), placed.where(F.col("copies") > COPIES_AT_ONCE)
+    portions = many.withColumn("portion", F.explode(F.expr(f"sequence(0, (copies - 1) div {COPIES_AT_ONCE})"))).repartition(partitions_for(placed), "h", "portion")
+    copy = F.expr(f"explode(sequence(portion * {COPIES_AT_ONCE}, least(copies, (portion + 1) * {COPIES_AT_ONCE}) - 1))")
+    rows = few.withColumn("portion", F.lit(0).cast("long")).unionByName(portions).withColumn("copy", copy)
+    return rows.withColumn("before", F.col("before") + F.col("copy") * F.col("size")).drop("copies", "portion", "copy")
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
@@ -112,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEAT
     """One row per document, in order of first position: doc_id, size, source_size, target, taken (words, repeats
     counted) and positions (one for each pass that takes it)."""
     sizes = _sizes(docs)
-    placed = _placed(sizes, source_targets(sizes, weights, max_repeats))
+    placed = _each_copy(_placed(sizes, source_targets(sizes, weights, max_repeats)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.expr("budget div source_size"))).otherwise(0).cast("int")
     rest = F.col("budget") - F.col("passes") * F.col("source_size")
     last = F.least("size", F.greatest(F.lit(0), rest - F.col("before")))
@@ -156,7 +171,7 @@ def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX
     targets = source_targets(sizes, weights, max_repeats)
     placed = _placed(sizes, targets).where("size > 0").withColumn("passes", F.expr("budget div source_size"))
     same = ("source_size", "budget", "rank", "passes", "size")
-    groups = placed.groupBy("key", "h", "doc_id").agg(F.min("before").alias("before"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in same))
+    groups = placed.groupBy("key", "h", "doc_id").agg(F.min("before").alias("before"), F.sum("copies").alias("n"), *(F.first(c).alias(c) for c in same))
     due = F.col("budget") - F.col("passes") * F.col("source_size") - F.col("before")
     last = F.greatest(F.lit(0), F.least(F.col("n"), F.floor((2 * due + F.col("size")) / (2 * F.col("size")))))
     taken = groups.withColumn("last", last.cast("long")).where("passes + last > 0")

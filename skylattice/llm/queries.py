@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators."""
 
-from skylattice.llm import contamination, infilling, mixing, quality, quotes, repeats, sharding
+from skylattice.llm import contamination, infilling, innerproduct, mixing, quality, quotes, repeats, sharding
 from skylattice.llm.contamination import op8_spaced_seeds
 from skylattice.llm.infilling import op12_fill_in_middle
+from skylattice.llm.innerproduct import op11_inner_products
 from skylattice.llm.language import op7_language_id
 from skylattice.llm.mixing import op1_mix_sources
 from skylattice.llm.quality import op2_quality_rules
@@ -13,7 +14,7 @@ from skylattice.llm.simhash import op6_simhash
 from skylattice.llm.tokens import op5_wavelet_tokens
 from skylattice.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quote_links, op4_extendible_shards, op5_wavelet_tokens, op6_simhash, op7_language_id, op8_spaced_seeds, op9_repeats, op10_toxicity, op12_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quote_links, op4_extendible_shards, op5_wavelet_tokens, op6_simhash, op7_language_id, op8_spaced_seeds, op9_repeats, op10_toxicity, op11_inner_products, op12_fill_in_middle)}
 ORACLE_SQL: dict[str, str] = {}
-for module in (mixing, quality, quotes, sharding, contamination, repeats, infilling):
+for module in (mixing, quality, quotes, sharding, contamination, repeats, infilling, innerproduct):
     ORACLE_SQL |= module.ORACLE_SQL

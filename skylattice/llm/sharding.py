@@ -28,6 +28,22 @@ def _prefix(depth):
     return F.expr(f"shiftright(h, {BITS} - {depth})")
 
 
+def _sums(cells: DataFrame, low: int, high: int) -> DataFrame:
+    """Rows (depth, prefix, shard_bytes, n) for the prefixes of ``low`` to ``high`` bits of the cells (``high`` bits). A step
+    sums over some depths and hands the next one the prefixes that are left."""
+    found, level, top = None, cells.withColumnRenamed("cell", "prefix"), high
+    while True:
+        bottom = max(low, top - MORE_BITS + 1)
+        depths = F.explode(F.sequence(F.lit(bottom), F.lit(top))).alias("depth")
+        nodes = level.select("prefix", depths, "bytes", "n").withColumn("prefix", F.expr(f"shiftright(prefix, {top} - depth)"))
+        sums = materialise(nodes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("n")), "shard-sums")
+        found = sums if found is None else found.unionByName(sums)
+        if bottom == low:
+            return found
+        shortest = sums.where(F.col("depth") == bottom)
+        level, top = shortest.select(F.expr("shiftright(prefix, 1)").alias("prefix"), F.col("shard_bytes").alias("bytes"), "n"), bottom - 1
+
+
 def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, bytes, depth (bits of the prefix), shard (depth and prefix), part, shard_bytes and oversize."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("long")
@@ -37,12 +53,14 @@ def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     found = None
     while True:
         cells = materialise(left.groupBy(_prefix(high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "shard-cells")
-        nodes = cells.select("cell", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "bytes", "n").withColumn("prefix", F.expr(f"shiftright(cell, {high} - depth)"))
-        sums = nodes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("n"))
-        fits = materialise(sums.where((F.col("shard_bytes") <= shard_bytes) | (F.col("n") == 1)), "shard-nodes")
-        # the directory: for each cell, its shortest prefix that fits
-        directory = nodes.join(fits.select("depth", "prefix", "shard_bytes"), ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("at"))
-        directory = materialise(directory.select("cell", "at.*"), "shard-directory")
+        sums = _sums(cells, low, high)
+        fits = sums.where((F.col("shard_bytes") <= shard_bytes) | (F.col("n") == 1))
+        # a prefix longer than one that fits, fits as well: shards are those that don't fit when one bit shorter
+        longer = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.expr("array(2 * prefix, 2 * prefix + 1)")).alias("prefix"))
+        shards = fits.join(longer, ["depth", "prefix"], "left_anti")
+        # the directory: for each cell, its shard
+        under = F.expr(f"sequence(shiftleft(prefix, {high} - depth), shiftleft(prefix + 1, {high} - depth) - 1)")
+        directory = materialise(shards.select(F.explode(under).alias("cell"), "depth", "prefix", "shard_bytes"), "shard-directory")
         rows = join_small(left.withColumn("cell", _prefix(high)), directory, "cell").select("doc_id", "bytes", "depth", "prefix", F.lit(0).cast("long").alias("part"), "shard_bytes")
         found = rows if found is None else found.unionByName(rows)
         crowded = cells.join(directory, "cell", "left_anti")

@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 The index is fitted on a bounded sample of the labelled rows: at most ``MAX_EXAMPLES`` of each class and ``MAX_BYTES`` of
-their texts, those of the smallest hash of their id. Terms are lower-cased words and the beginnings of longer ones, held
-as 64-bit hashes. Every term of every example is in the index; a term of a document that no example has would add
-nothing to a cosine but length, the same for all examples, and is left out of both. A term weighs
-``(1 + ln count) * idf * boost``: the inverse document frequency is counted over all documents, and the boost, 1 for most
+their texts, those of the smallest hash of their id; a text of over a 32nd of these bytes is no example. Terms are
+lower-cased words and the beginnings of longer ones, held as 64-bit hashes. Every term of every example is in the index; a
+term of a document that no example has would add nothing to a cosine but length, the same for all examples, and is left
+out of both. A term weighs ``(1 + ln count) * idf * boost``: the inverse document frequency is counted over all documents, and the boost, 1 for most
 terms, grows with the certainty that a term points to toxic examples. A verbatim copy of an example has cosine 1.
 
 Examples lie in blocks. Terms that few examples have are kept as postings and summed in full. For the frequent ones the
@@ -310,7 +310,9 @@ def _examples(docs: DataFrame, usable: DataFrame, max_examples: int, max_bytes:
     one = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     until = W.partitionBy("toxic").orderBy(rank, "doc_id").rowsBetween(W.unboundedPreceding, 0)
     sized = materialise(one.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "example-texts")
-    chosen = sized.select("doc_id", "toxic", F.sum("bytes").over(until).alias("total")).where(F.col("total") <= max_bytes // 2)
+    # a text over a sixteenth of these bytes would push out the examples after it
+    short = sized.where(F.col("bytes") <= max_bytes // 32)
+    chosen = short.select("doc_id", "toxic", F.sum("bytes").over(until).alias("total")).where(F.col("total") <= max_bytes // 2)
 
     def run(batch):
         counts = count_terms(batch.column("text"))

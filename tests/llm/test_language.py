@@ -7,6 +7,7 @@ import urllib.parse
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skylattice.llm import language
 
@@ -139,3 +140,14 @@ def test_tags_of_long_and_broken_pages():
     assert time.perf_counter() - began < 20
     assert language.page_text("a<b>c</b>d <!-- x > y --> e<STYLE>no</Style >f&amp;g < h").split() == ["a", "c", "d", "e", "f&g", "<", "h"]
     assert language.page_text("a <!-- open > b").split() == ["a"] and language.page_text("1 < 2") == "1 < 2"
+
+
+def test_declared_language_of_long_markup(spark):
+    """Unclosed and repeated tags are searched in linear time; the first tag decides."""
+    pages = ["<html " * 350_000, "<html " * 350_000 + "lang=de", "x" * 100 + "<HTML class=a lang = 'FR-be'>", "<html><html lang=en>", "<html " + "lang " * 400_000, "<html lang" + " " * 2_000_000 + ">", None]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("http://a.b/")).coalesce(1).cache()
+    rows.count()
+    began = time.perf_counter()
+    got = [r.declared for r in rows.select("page_id", language._features()["declared"].alias("declared")).orderBy("page_id").collect()]
+    assert time.perf_counter() - began < 10
+    assert got == ["", "de", "fr", "", "", "", ""]

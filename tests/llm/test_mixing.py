@@ -105,3 +105,12 @@ def test_equal_rows_are_taken_one_by_one(spark):
         if lang(0) != lang(1):
             copies = [sum(r.source == s and r.lang == f"l{i}" for r in got) for s in "ab" for i in range(100)]
             assert set(copies[:100]) == {0, 1} and set(copies[100:]) == {1, 2}
+
+
+def test_copies_are_dealt_to_several_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "s", "a b c")] * 50 + [(i, "t", "d e") for i in range(7)], "doc_id long, source string, text string")
+    want = sorted((r.doc_id, r.taken, tuple(r.positions)) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 8)
+    assert sorted((r.doc_id, r.taken, tuple(r.positions)) for r in mixing.mix(docs).collect()) == want
+    starts = [p for i, _, p in want if i == 1 and p]
+    assert len(set(starts)) == len(starts) > 40

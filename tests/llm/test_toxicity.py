@@ -144,3 +144,12 @@ def test_sample_is_bounded_and_empty_tables_work(spark):
     index = t.fit(docs, named.limit(0))
     assert {r.toxic_score for r in t.score_toxicity(docs, index).collect()} == {0.0}
     assert t.score_toxicity(docs.limit(0), index).count() == 0
+
+
+def test_a_long_text_does_not_push_out_a_class(spark):
+    rows, labels = corpus(300)
+    longest = {c: min((i for i, y in labels if y == c and zlib.crc32(str(i).encode()) % 4 != 2)) for c in (0, 1)}
+    rows = [(i, x + " word" * 60_000 if i in longest.values() else x) for i, x in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 0, y) for i, y in labels], "doc_id long, quality int, toxic int")
+    index = t.fit(docs, marks, max_bytes=1 << 22)
+    assert min(sum(index.toxic == c) for c in (0, 1)) > 10 and not set(longest.values()) & set(index.ids)
