@@ -3,7 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# blanks at the end are tried from the first of a run only, which keeps the search linear
+_BLANKS = r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$"
 
 
 def _c(x) -> Column:

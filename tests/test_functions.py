@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -92,3 +93,14 @@ def test_weighted_draws_have_the_exact_shares(spark):
 def test_uniform_is_independent_by_salt(spark):
     r = spark.range(20_000).agg(F.corr(uniform("id", 1), uniform("id", 2)).alias("c"), F.avg(uniform("id", 1)).alias("m")).first()
     assert abs(r.c) < 0.03 and r.m == pytest.approx(0.5, abs=0.01) and math.isfinite(r.c)
+
+
+def test_blanks_are_stripped_in_linear_time(spark):
+    long = " " * 2_000_000
+    words = [f"a{long}b", f"{long}a{long}b{long}", long, "\u3000a\x1c ", "a\nb \n"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").coalesce(1).cache()
+    rows.count()
+    began = time.perf_counter()
+    got = [r.s for r in rows.select("i", text.strip("w").alias("s")).orderBy("i").collect()]
+    assert time.perf_counter() - began < 10
+    assert got == [f"a{long}b", f"a{long}b", "", "a", "a\nb"]
