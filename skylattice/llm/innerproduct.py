@@ -21,6 +21,7 @@ Repeated queries each get their rows. Other columns are ignored; an empty table
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ FIRST_ROUND = 1 << 15
 #: Bytes of vectors in a packed chunk, and in the candidates of a task.
 CHUNK_BYTES, STRIPE_BYTES = 2 << 20, 8 << 20
 SAMPLE_BYTES = 8 << 20
-#: Parts of the coordinates after which bounds are checked; pairs are handled one by one once so few of a block are left.
-SECTIONS, FEW = (1 / 8, 1 / 4, 1 / 2, 3 / 4), 1 / 16
+#: Bounds are checked after the coordinates that leave these parts of the sample's squared length; pairs are handled one
+#: by one once so few of a block are left.
+SECTIONS, FEW = (1 / 2, 1 / 4, 1 / 16), 1 / 16
 #: Queries and candidates in one matrix product.
 QUERIES_AT_ONCE, CANDIDATES_AT_ONCE = 256, 1024
 LONGEST, NO_ID = float(1 << 62), np.iinfo(np.int64).max
@@ -60,13 +62,27 @@ def _floor(x: Column) -> Column:
     return F.when(F.abs(x) < LONGEST, F.floor(x).cast("double")).otherwise(x)
 
 
-def rotation(vectors: DataFrame, width: int) -> np.ndarray:
-    """Right singular vectors of a sample as columns, those of the largest singular values first."""
+@dataclass
+class Rotation:
+    """Right singular vectors as columns, those of the largest singular values first, and where sections end."""
+
+    axes: np.ndarray
+    ends: list[int]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Rotation:
+        values, axes = np.linalg.eigh(x.T @ x)
+        by = np.argsort(-values, kind="stable")
+        rest = 1 - np.cumsum(np.maximum(values[by], 0)) / max(values.sum(), 1e-300)
+        ends = {int(np.searchsorted(-rest, -part - 1e-12)) + 1 for part in SECTIONS}
+        return cls(axes[:, by], sorted(e for e in ends if e < len(values)))
+
+
+def rotation(vectors: DataFrame, width: int) -> Rotation:
+    """That of a sample of the vectors."""
     sample = vectors.orderBy(F.xxhash64("row")).limit(max(1, SAMPLE_BYTES // (8 * width))).select("vec").toArrow()
     x = _matrix(sample.column("vec").combine_chunks(), width)
-    x = x / max(1.0, np.abs(x).max(initial=0))
-    values, axes = np.linalg.eigh(x.T @ x)
-    return axes[:, np.argsort(-values, kind="stable")]
+    return Rotation.of(x / max(1.0, np.abs(x).max(initial=0)))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -76,9 +92,9 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _packed(rows: DataFrame, width: int, parts: int) -> DataFrame:
-    """Chunks of rows (row, id, vec and, for queries, least) as binary columns, dealt to parts by hash."""
-    at_once = max(1, CHUNK_BYTES // (8 * width))
+def _packed(rows: DataFrame, width: int, n: int, parts: int) -> DataFrame:
+    """Chunks of n rows (row, id, vec and, for queries, least) as binary columns, dealt to parts at random."""
+    at_once = max(1, min(CHUNK_BYTES // (8 * width), -(-n // (4 * parts))))
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
@@ -107,16 +123,17 @@ def _packed(rows: DataFrame, width: int, parts: int) -> DataFrame:
 class Block:
     """Some vectors, from the longest to the shortest."""
 
-    def __init__(self, packed: pa.Table, width: int, axes: np.ndarray):
+    def __init__(self, packed: pa.Table, width: int, turn: Rotation):
         join = lambda name, kind: np.frombuffer(b"".join(packed.column(name).to_pylist()), kind)
         vecs = join("vecs", np.float64).reshape(-1, width)
         length = np.sqrt((vecs * vecs).sum(axis=1))
         by = np.argsort(-length, kind="stable")
         self.length, self.vecs = length[by], vecs[by]
         self.rows, self.ids, self.no_id, self.least = (join(name, kind)[by] for name, kind in (("rows", np.int64), ("ids", np.int64), ("no_id", bool), ("least", np.float64)))
-        self.turned = self.vecs @ axes
-        self.ends = sorted({max(1, round(width * s)) for s in SECTIONS if width > 1})
-        self.left = [np.sqrt((self.turned[:, e:] ** 2).sum(axis=1)) for e in self.ends]
+        turned = self.vecs @ turn.axes
+        left = lambda end: np.sqrt((turned[:, end:] ** 2).sum(axis=1, keepdims=True))
+        #: For each section the coordinates up to its end and the length of the rest: products of these are bounds.
+        self.bounds = [np.ascontiguousarray(np.hstack([turned[:, :end], left(end)])) for end in turn.ends]
 
 
 def _exact(q: np.ndarray, c: np.ndarray, largest: float) -> np.ndarray:
@@ -127,28 +144,25 @@ def _exact(q: np.ndarray, c: np.ndarray, largest: float) -> np.ndarray:
     return np.array([max(low, min(high, sum(int(a) * int(b) for a, b in zip(x, y)))) for x, y in zip(q, c)], np.int64)
 
 
-def _survivors(queries: Block, candidates: Block, i: np.ndarray, j: slice, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place in i, place in j) whose bounds reach the threshold after every section."""
-    lengths = queries.length[i][:, None] * candidates.length[j][None, :]
-    floor = least[:, None] - 1e-9 * lengths - 1e-6
-    q, c, start = queries.turned[i], candidates.turned[j], 0
-    partial, pairs = np.zeros(lengths.shape), None
-    for end, q_left, c_left in zip(queries.ends, queries.left, candidates.left):
+def _survivors(queries: Block, candidates: Block, i: np.ndarray, j: slice, least: np.ndarray, largest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in i, place in j) whose bounds reach the threshold after every section, or that of their block."""
+    floor = np.where(least > -(2.0**63), least - 1e-9 * largest - 1e-6, -math.inf)
+    pairs = None
+    for q, c in zip(queries.bounds, candidates.bounds):
+        q, c = q[i], c[j]
         if pairs is None:
-            partial += q[:, start:end] @ c[:, start:end].T
-            alive = np.maximum(partial + q_left[i][:, None] * c_left[j][None, :], -(2.0**63)) >= floor
-            if alive.sum() <= FEW * alive.size:
+            alive = q @ c.T >= floor[:, None]
+            if np.count_nonzero(alive) <= FEW * alive.size:
                 pairs = np.nonzero(alive)
-                sums = partial[pairs]
         else:
             a, b = pairs
-            sums = sums + np.einsum("ij,ij->i", q[a, start:end], c[b, start:end])
-            alive = np.maximum(sums + q_left[i][a] * c_left[j][b], -(2.0**63)) >= floor[a, b]
-            pairs, sums = (a[alive], b[alive]), sums[alive]
-        start = end
+            alive = np.einsum("ij,ij->i", q[a], c[b]) >= floor[a]
+            pairs = a[alive], b[alive]
     if pairs is None:
-        partial += q[:, start:] @ c[:, start:].T
-        pairs = np.nonzero(np.maximum(partial, -(2.0**63)) >= floor)
+        sums = queries.vecs[i] @ candidates.vecs[j].T
+        if sums.shape[1] > k:  # of these candidates k others reach this much
+            floor = np.maximum(floor, np.partition(sums, -k - 1, axis=1)[:, -k - 1] - 1e-9 * largest - 1e-6)
+        pairs = np.nonzero(sums >= floor[:, None])
     return pairs
 
 
@@ -166,7 +180,7 @@ def search_blocks(queries: Block, candidates: Block, k: int) -> tuple[dict[str,
             asked = np.flatnonzero(reach * (1 + 1e-9) + 1e-6 >= least)
             if not len(asked):
                 break  # the candidates that follow are no longer
-            a, b = _survivors(queries, candidates, mine[asked], j, least[asked])
+            a, b = _survivors(queries, candidates, mine[asked], j, least[asked], reach.max(initial=0), k)
             a, b = asked[a], b + at
             other = queries.rows[mine[a]] != candidates.rows[b]
             a, b = a[other], b[other]
@@ -186,14 +200,17 @@ def search_blocks(queries: Block, candidates: Block, k: int) -> tuple[dict[str,
     return {n: np.concatenate([np.zeros(0, bool if n == "no_id" else np.int64), *(x[n] for x in found)]) for n in names}, scored
 
 
-def _round(asked: DataFrame, candidates: DataFrame, n_asked: int, n_candidates: int, width: int, axes: np.ndarray, k: int) -> DataFrame:
+def _round(asked: DataFrame, candidates: DataFrame, n_asked: int, n_candidates: int, width: int, turn: Rotation, k: int) -> DataFrame:
     """The best of some candidates for each query, as found in each group of blocks."""
-    groups, stripes = (max(1, -(-n * 8 * width // STRIPE_BYTES)) for n in (n_asked, n_candidates))
-    left = _packed(asked, width, groups).withColumnRenamed("part", "g").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
-    right = _packed(candidates, width, stripes).withColumnRenamed("part", "s").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n_asked * 8 * width // STRIPE_BYTES))
+    # two tasks a core, where there are candidates enough for it
+    stripes = max(1, -(-n_candidates * 8 * width // STRIPE_BYTES), min(2 * cores // groups, n_candidates // CANDIDATES_AT_ONCE))
+    left = _packed(asked, width, n_asked, groups).withColumnRenamed("part", "g").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
+    right = _packed(candidates, width, n_candidates, stripes).withColumnRenamed("part", "s").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        out, _ = search_blocks(Block(q, width, axes), Block(c, width, axes), k)
+        out, _ = search_blocks(Block(q, width, turn), Block(c, width, turn), k)
         c_id = pa.array(out["c_id"], mask=out["no_id"])
         return pa.table({"q_row": out["q_row"], "c_row": out["c_row"], "c_id": c_id, "score": out["score"]})
 
@@ -210,7 +227,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, first_round: int = F
     n_asked = queries.count()
     if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long, q_row long")
-    axes = rotation(vectors, width)
+    turn = rotation(vectors, width)
     rounds = max(1, math.ceil(math.log2(n / first_round + 1)))
     parts = [1 - first_round * (2**r - 1) / n for r in range(1, rounds)]
     cuts = [math.inf, *(vectors.agg(F.percentile_approx("length", parts, 10_000)).first()[0] if parts else []), -1.0]
@@ -230,7 +247,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, first_round: int = F
                 release(asked)
                 break
         here = vectors.where((F.col("length") <= high) & (F.col("length") > low))
-        found = _round(asked, here, n_asked, here.count(), width, axes, k)
+        found = _round(asked, here, n_asked, here.count(), width, turn, k)
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.llm import innerproduct
-from skylattice.llm.innerproduct import Block, op11_inner_products, search_blocks, top_k, whole_vectors
+from skylattice.llm.innerproduct import Block, Rotation, op11_inner_products, search_blocks, top_k, whole_vectors
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -54,12 +54,13 @@ def test_bounds_spare_scores():
     rng = np.random.default_rng(2)
     base = rng.normal(size=(5000, 32)) * (0.8 ** np.arange(32)) * rng.lognormal(0, 0.7, 5000)[:, None]
     vecs = np.floor(64 * (base @ np.linalg.qr(rng.normal(size=(32, 32)))[0]))
-    axes = np.linalg.eigh(vecs.T @ vecs)[1][:, ::-1]
+    turn = Rotation.of(vecs)
+    assert turn.ends[0] < 12
 
     def packed(x, first):
         n = len(x)
         columns = [np.arange(first, first + n), np.arange(first, first + n), np.zeros(n, bool), x, np.full(n, -np.inf)]
-        return Block(pa.table({name: [c.tobytes()] for name, c in zip(("rows", "ids", "no_id", "vecs", "least"), columns)}), 32, axes)
+        return Block(pa.table({name: [c.tobytes()] for name, c in zip(("rows", "ids", "no_id", "vecs", "least"), columns)}), 32, turn)
 
     out, scored = search_blocks(packed(vecs[:100], 0), packed(vecs, 0), 20)
     assert scored < 0.35 * 100 * 5000
