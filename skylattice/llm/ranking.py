@@ -33,8 +33,8 @@ from skylattice.llm.arrow import map_batches, text_bytes
 from skylattice.storage import fits_broadcast, join_small, materialise, release
 
 K = 50
-#: Tiers of the index; each begins at the impact where the one before ends, a third as high.
-TIERS, FALL = 4, 3
+#: Tiers of the index: the first ends at a sixth of the highest impact, each of the next a third as high, the last at 0.
+TIERS, FIRST, FALL = 4, 6, 3
 SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 20
 #: Terms of the items that a task searches for.
 BLOCK_TERMS = 1 << 16
@@ -119,7 +119,7 @@ def tiers(found: DataFrame) -> DataFrame:
     weight = F.floor(1000 * F.log((2.0 * n + 2) / (2.0 * F.col("df") + 1))).cast("long")
     weights = materialise(df.select("term", weight.alias("w")), "term-weights")
     most = (weights.agg(F.max("w")).first()[0] or 0) * 1_000_000
-    starts = [most // FALL ** (t + 1) for t in range(TIERS - 1)] + [0]
+    starts = [most // (FIRST * FALL**t) for t in range(TIERS - 1)] + [0]
     weights = weights.unionByName(found.sparkSession.range(1).select(F.lit(DOCUMENTS).alias("term"), F.lit(0).cast("long").alias("w")))
 
     def run(batch):
