@@ -1,7 +1,18 @@
 """Retrieval quality over all pairs of embeddings: Recall@K, MRR and MAP, exact, by data set and overall.
 
 Input columns: dataset, id, label, vec. Ties in similarity go to the smaller id. A query without a relevant candidate
-counts 0 in every mean. ``include_self`` keeps the query among its own candidates.
+counts 0 in every mean, and so does one without a label. ``include_self`` keeps the query among its own candidates.
+
+Vectors of a label are cut into blocks. A unit of work is a block of queries with a block of relevant candidates: the
+shuffle brings both to one task, then streams all candidates of the data set past them in order of id. The task knows the
+similarities of the unit's relevant pairs and counts, for each, the candidates that come before it; counts over the
+blocks of relevant candidates add up to ranks. Nothing passes through the driver, no list of pairs leaves a task, and a
+task holds ``BLOCK_ROWS`` squared similarities at most, whatever the sizes of data sets and labels. ``top_k`` streams the
+candidates past blocks of queries in the same way.
+
+Products of differently cut matrices may differ in their last bits. Similarities are therefore compared as whole
+multiples of 2^-34; the few that lie too near to the middle of two multiples are summed again one by one, so that a pair
+has the same similarity wherever it is computed.
 """
 
 from __future__ import annotations
@@ -9,18 +20,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skylattice.functions.vector import dot, normalise
+from skylattice.storage import join_small, materialise
 
 KS = (1, 5, 10)
-#: Vectors of candidates that are sent to every task at a time: 64 MB of doubles at most.
-BLOCK_BYTES = 64 << 20
-QUERY_ROWS = 256
-_PER_QUERY = "dataset string, id long, label int, relevant long, first_rank long, average_precision double"
+#: Vectors in a block of queries or of relevant candidates, and candidates that a task looks at together.
+BLOCK_ROWS, CHUNK_ROWS = 2048, 1024
+#: Similarities are compared as multiples of 1 / GRID.
+GRID = float(1 << 34)
+QUERIES, RELEVANT, CANDIDATES = 0, 1, 2
 
 
 def embeddings(df: DataFrame, id: str, label: str, vec: str, dataset=None) -> DataFrame:
@@ -43,100 +56,135 @@ def per_query_sql(emb: DataFrame, include_self: bool = True) -> DataFrame:
     )
 
 
-def _blocks(emb: DataFrame, block_bytes: int) -> list[tuple[str, int]]:
-    """(dataset, number of candidate blocks) of bounded bytes."""
-    sizes = emb.groupBy("dataset").agg(F.sum(8 * F.size("vec")).alias("b")).collect()  # a row per data set
-    return [(r.dataset, max(1, -(-r.b // block_bytes))) for r in sizes]
-
-
-def per_query(emb: DataFrame, include_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """By matrix products in Arrow batches: no pair leaves its task. Where all candidates of a data set fit one bounded
-    block, ranks come from one sort; otherwise the ranks of a query's relevant candidates are counted block by block:
-    a rank is one more than the candidates that are more similar (or as similar, with a smaller id)."""
-    spark, found = emb.sparkSession, None
-    for dataset, n_blocks in _blocks(emb, block_bytes):
-        queries = emb.where(F.col("dataset") == dataset)
-        out = _one_block(spark, queries, include_self) if n_blocks == 1 else _many_blocks(spark, queries, n_blocks, include_self)
-        found = out if found is None else found.unionByName(out)
-    return found if found is not None else spark.createDataFrame([], _PER_QUERY)
-
-
-def _block(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = sorted(rows, key=lambda r: r.id)
-    return np.array([r.id for r in rows], np.int64), np.array([r.label for r in rows], np.int64), np.array([r.vec for r in rows], np.float64)
-
-
-def _chunks(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    for frame in frames:
-        for at in range(0, len(frame), QUERY_ROWS):
-            yield frame.iloc[at : at + QUERY_ROWS]
-
-
-def _one_block(spark, queries: DataFrame, include_self: bool) -> DataFrame:
-    shared = spark.sparkContext.broadcast(_block(queries.select("id", "label", "vec").collect()))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        ids, labels, matrix = shared.value
-        for q in _chunks(frames):
-            sims = np.array(q["vec"].tolist(), np.float64) @ matrix.T
-            order = np.argsort(-sims, axis=1, kind="stable")  # candidates are in order of id
-            rel = labels[order] == q["label"].to_numpy()[:, None]
-            rank = np.broadcast_to(np.arange(1, len(ids) + 1), rel.shape).astype(np.float64)
-            if not include_self:
-                own = ids[order] == q["id"].to_numpy()[:, None]
-                rank, rel = rank - np.cumsum(own, axis=1), rel & ~own
-            n = rel.sum(axis=1)
-            ap = np.where(n > 0, (rel * np.cumsum(rel, axis=1) / np.maximum(rank, 1)).sum(axis=1) / np.maximum(n, 1), 0.0)
-            first = np.where(n > 0, rank[np.arange(len(q)), rel.argmax(axis=1)], 0)
-            yield pd.DataFrame({"dataset": q["dataset"], "id": q["id"], "label": q["label"], "relevant": n, "first_rank": pd.array(first, "Int64").astype("Int64"), "average_precision": ap}).assign(first_rank=lambda d: d["first_rank"].where(d["relevant"] > 0))
-
-    return queries.mapInPandas(run, _PER_QUERY)
-
-
-def _many_blocks(spark, queries: DataFrame, n_blocks: int, include_self: bool) -> DataFrame:
-    """Similarities of the relevant pairs first, then counts against every block; both are sums over blocks."""
-    pick = lambda b: queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).select("id", "label", "vec").collect()
-    relevant = counts = None
-    blocks = [spark.sparkContext.broadcast(_block(pick(b))) for b in range(n_blocks)]
-    for shared in blocks:
-
-        def similar(frames, shared=shared):
-            ids, labels, matrix = shared.value
-            for q in _chunks(frames):
-                if len(ids):
-                    sims = np.array(q["vec"].tolist(), np.float64) @ matrix.T
-                    i, j = np.nonzero(labels[None, :] == q["label"].to_numpy()[:, None])
-                    keep = np.ones(len(i), bool) if include_self else q["id"].to_numpy()[i] != ids[j]
-                    yield pd.DataFrame({"id": q["id"].to_numpy()[i[keep]], "cid": ids[j[keep]], "sim": sims[i[keep], j[keep]]})
-
-        part = queries.mapInPandas(similar, "id long, cid long, sim double")
-        relevant = part if relevant is None else relevant.unionByName(part)
-    lists = relevant.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), "cid"))).alias("rel"))
-    asked = queries.join(lists, "id")
-    for shared in blocks:
-
-        def count(frames, shared=shared):
-            ids, _, matrix = shared.value
-            for q in _chunks(frames):
-                sims = np.array(q["vec"].tolist(), np.float64) @ matrix.T if len(ids) else np.zeros((len(q), 0))
-                out = []
-                for qid, rel, row in zip(q["id"], q["rel"], sims):
-                    mine = np.ones(len(ids), bool) if include_self else ids != qid
-                    order = np.lexsort((ids[mine], -row[mine]))
-                    have_s, have_i = -row[mine][order], ids[mine][order]
-                    ahead = []
-                    for r in rel:
-                        low, high = np.searchsorted(have_s, r["s"], "left"), np.searchsorted(have_s, r["s"], "right")
-                        ahead.append(int(low + np.searchsorted(have_i[low:high], r["cid"], "left")))
-                    out.append(ahead)
-                yield pd.DataFrame({"id": q["id"], "ahead": out})
-
-        part = asked.mapInPandas(count, "id long, ahead array<long>").select("id", F.posexplode("ahead").alias("pos", "n"))
-        counts = part if counts is None else counts.unionByName(part)
-    ranks = counts.groupBy("id", "pos").agg((F.sum("n") + 1).alias("rank"))
-    per = ranks.groupBy("id").agg(F.count("*").alias("relevant"), F.min("rank").alias("first_rank"), F.avg((F.col("pos") + 1) / F.col("rank")).alias("average_precision"))
-    out = queries.select("dataset", "id", "label").join(per, "id", "left")
-    return out.select("dataset", "id", "label", F.coalesce("relevant", F.lit(0)).alias("relevant"), "first_rank", F.coalesce("average_precision", F.lit(0.0)).alias("average_precision"))
+def similarities(queries: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products as whole multiples of 1 / GRID, the same for a pair of vectors in any blocks, and as they are."""
+    plain = queries @ candidates.T
+    scaled = plain * GRID
+    whole = np.rint(scaled)
+    size = np.abs(queries).sum(axis=1).max(initial=0) * np.abs(candidates).max(initial=0)
+    doubt = queries.shape[1] * np.finfo(np.float64).eps * max(size, 1.0) * GRID
+    i, j = np.nonzero(np.abs(scaled - whole) >= 0.5 - doubt)
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        whole[a, b] = np.rint(np.einsum("ij,ij->i", queries[a], candidates[b]) * GRID)
+    return whole.astype(np.int64), plain
+
+
+def _blocked(emb: DataFrame, by: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``emb`` with ``block``, the blocks of each group numbered from 0 and filled by hash of id; and the groups with their
+    number of blocks."""
+    groups = materialise(emb.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "groups")
+    return join_small(emb, groups, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"), groups
+
+
+def _numbers(n: str, name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+
+
+def _streams(units: DataFrame, parts: list[tuple[DataFrame, list[str], int]]) -> DataFrame:
+    """Rows (unit, kind, dataset, label, id, vec): the parts of each unit one after another, in order of id. A part is a
+    table, the columns it shares with the units, and its kind."""
+    rows = None
+    for part, on, kind in parts:
+        more = join_small(part, units.select("unit", *on), on).select("unit", F.lit(kind).alias("kind"), "dataset", "label", "id", "vec")
+        rows = more if rows is None else rows.unionByName(more)
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind", "id")
+
+
+class _Rows:
+    """Rows of one kind of a unit as arrays."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(batches)
+        self.dataset, self.label, self.id = (t.column(c).to_pylist() for c in ("dataset", "label", "id"))
+        self.ids = np.array(self.id, np.int64)
+        vec = t.column("vec").combine_chunks()
+        self.vec = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+        label = t.column("label").combine_chunks()
+        self.labels, self.labelled = label.fill_null(0).to_numpy(zero_copy_only=False), label.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _units(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...], work) -> Iterable[pa.RecordBatch]:
+    """Hands the rows of sorted streams to one ``work(kept)`` a unit: ``kept`` has the rows of ``kinds``, ``add`` takes
+    chunks of candidates, ``result`` gives a batch. Units without rows of a kind are passed over."""
+    unit, kept, done = None, {k: [] for k in kinds}, None
+    for batch in batches:
+        key = batch.column("unit").to_numpy(zero_copy_only=False) * 3 + batch.column("kind").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else [0]
+        for a, b in zip(edges, edges[1:]):
+            of, kind = divmod(int(key[a]), 3)
+            if of != unit:
+                if done is not None:
+                    yield done.result()
+                unit, kept, done = of, {k: [] for k in kinds}, None
+            if kind != CANDIDATES:
+                kept[kind].append(batch.slice(a, b - a))
+                continue
+            if not all(kept.values()):
+                continue
+            if done is None:
+                done = work({k: _Rows(x) for k, x in kept.items()})
+            for at in range(a, b, CHUNK_ROWS):
+                done.add(_Rows([batch.slice(at, min(CHUNK_ROWS, b - at))]))
+    if done is not None:
+        yield done.result()
+
+
+class _Ranks:
+    """Counts, for each relevant pair of a unit, the candidates that come before it."""
+
+    schema = "dataset string, id long, relevant long, first_rank long, precision double"
+
+    def __init__(self, kept: dict[int, _Rows], include_self: bool):
+        self.queries, relevant, self.include_self = kept[QUERIES], kept[RELEVANT], include_self
+        self.ids, (sims, _) = relevant.ids, similarities(kept[QUERIES].vec, relevant.vec)
+        # by rising similarity, of equal ones the larger id first: the last comes first in the ranking
+        self.order = np.lexsort((np.broadcast_to(-self.ids, sims.shape), sims), axis=1)
+        self.sims = np.take_along_axis(sims, self.order, axis=1)
+        #: For each query how many candidates, and how many relevant ones, come before so many of the relevant.
+        self.ahead, self.found = (np.zeros((len(sims), sims.shape[1] + 1), np.int64) for _ in range(2))
+
+    def add(self, chunk: _Rows) -> None:
+        # a candidate's similarity and place by id as one number, larger for what comes first
+        n = len(chunk.ids) + 1
+        keys = similarities(self.queries.vec, chunk.vec)[0] * n + (n - 1 - np.arange(n - 1))
+        places = n - 1 - np.searchsorted(chunk.ids, self.ids)
+        mine = chunk.labelled[None, :] & (chunk.labels[None, :] == self.queries.labels[:, None])
+        other = np.ones(keys.shape, bool) if self.include_self else chunk.ids[None, :] != self.queries.ids[:, None]
+        width = self.ahead.shape[1]
+        for q in range(len(keys)):
+            beats = np.searchsorted(self.sims[q] * n + places[self.order[q]], keys[q], "left")
+            self.ahead[q] += np.bincount(beats[other[q]], minlength=width)
+            self.found[q] += np.bincount(beats[other[q] & mine[q]], minlength=width)
+
+    def result(self) -> pa.RecordBatch:
+        before = lambda x: x[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+        rank, nth = before(self.ahead) + 1, before(self.found) + 1
+        kept = np.ones(rank.shape, bool) if self.include_self else self.ids[self.order] != self.queries.ids[:, None]
+        n = kept.sum(axis=1)
+        first = np.where(kept, rank, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        precision = np.where(kept, nth / rank, 0.0)[:, ::-1].sum(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(self.queries.dataset, pa.string()), pa.array(self.queries.ids), pa.array(n), pa.array(first, mask=n == 0), pa.array(precision)], ["dataset", "id", "relevant", "first_rank", "precision"])
+
+
+def per_query(emb: DataFrame, include_self: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows (dataset, id, label, relevant, first_rank, average_precision), one for each vector. Ids are distinct in a data
+    set."""
+    stored = materialise(emb, "embeddings")
+    blocked, groups = _blocked(stored.where("label is not null"), ["dataset", "label"], block_rows)
+    units = groups.select("dataset", "label", "blocks", _numbers("blocks", "q")).select("*", _numbers("blocks", "r")).drop("blocks")
+    units = materialise(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    own = [(blocked.withColumnRenamed("block", name), ["dataset", "label", name], kind) for name, kind in (("q", QUERIES), ("r", RELEVANT))]
+    rows = _streams(units, [*own, (stored, ["dataset"], CANDIDATES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        return _units(batches, (QUERIES, RELEVANT), lambda kept: _Ranks(kept, include_self))
+
+    ranked = rows.mapInArrow(run, _Ranks.schema)
+    per = ranked.groupBy("dataset", "id").agg(F.sum("relevant").alias("relevant"), F.min("first_rank").alias("first_rank"), F.sum("precision").alias("precision"))
+    out = stored.select("dataset", "id", "label").join(per, ["dataset", "id"], "left")
+    average = F.coalesce(F.try_divide("precision", "relevant"), F.lit(0.0))
+    return out.select("dataset", "id", "label", F.coalesce("relevant", F.lit(0)).alias("relevant"), "first_rank", average.alias("average_precision"))
 
 
 def summarise(queries: DataFrame, by: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
@@ -159,31 +207,45 @@ def report_rows(per_dataset: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     return rows.unionByName(macro_average(per_dataset, ks).select("dataset", "num_images", F.lit("-").alias("num_classes"), *show))
 
 
-def top_k(emb: DataFrame, k: int, include_self: bool = False) -> DataFrame:
-    """The k most similar candidates of each query (dataset, id, rank, cid, sim): in each task by partial sort, with the
-    candidates in bounded blocks, then over the few that each block gives."""
-    spark, found = emb.sparkSession, None
-    for dataset, n_blocks in _blocks(emb, BLOCK_BYTES):
-        queries = emb.where(F.col("dataset") == dataset)
-        for b in range(n_blocks):
-            shared = spark.sparkContext.broadcast(_block(queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).select("id", "label", "vec").collect()))
-
-            def run(frames, shared=shared):
-                ids, _, matrix = shared.value
-                for q in _chunks(frames):
-                    if len(ids):
-                        sims = np.array(q["vec"].tolist(), np.float64) @ matrix.T
-                        if not include_self:
-                            sims[ids[None, :] == q["id"].to_numpy()[:, None]] = -np.inf
-                        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                        n = best.shape[1]
-                        out = pd.DataFrame({"dataset": np.repeat(q["dataset"].to_numpy(), n), "id": np.repeat(q["id"].to_numpy(), n), "cid": ids[best].ravel(), "sim": np.take_along_axis(sims, best, axis=1).ravel()})
-                        yield out[np.isfinite(out["sim"])]
-
-            part = queries.mapInPandas(run, "dataset string, id long, cid long, sim double")
-            found = part if found is None else found.unionByName(part)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("dataset", "id").orderBy(F.col("sim").desc(), "cid")))
-    return ranked.where(F.col("rank") <= k).select("dataset", "id", "rank", "cid", "sim")
+class _Best:
+    """The k most similar candidates of each query of a unit."""
+
+    schema = "dataset string, id long, rank int, cid long, sim double"
+
+    def __init__(self, kept: dict[int, _Rows], k: int, include_self: bool):
+        self.queries, self.k, self.include_self = kept[QUERIES], k, include_self
+        n = len(self.queries.ids)
+        self.sims, self.ids, self.plain = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64), np.zeros((n, 0))
+
+    def add(self, chunk: _Rows) -> None:
+        sims, plain = similarities(self.queries.vec, chunk.vec)
+        if not self.include_self:
+            sims[chunk.ids[None, :] == self.queries.ids[:, None]] = np.iinfo(np.int64).min + 1
+        # what was found has smaller ids, so that a stable sort keeps ties in order
+        sims = np.concatenate([self.sims, sims], axis=1)
+        best = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]
+        taken = lambda old, new: np.take_along_axis(np.concatenate([old, new], axis=1), best, axis=1)
+        self.ids, self.plain = taken(self.ids, np.broadcast_to(chunk.ids, plain.shape)), taken(self.plain, plain)
+        self.sims = np.take_along_axis(sims, best, axis=1)
+
+    def result(self) -> pa.RecordBatch:
+        q, at = np.nonzero(self.sims > np.iinfo(np.int64).min + 1)
+        dataset = pa.array(self.queries.dataset, pa.string()).take(pa.array(q))
+        columns = [dataset, pa.array(self.queries.ids[q]), pa.array((at + 1).astype(np.int32)), pa.array(self.ids[q, at]), pa.array(self.plain[q, at])]
+        return pa.RecordBatch.from_arrays(columns, ["dataset", "id", "rank", "cid", "sim"])
+
+
+def top_k(emb: DataFrame, k: int, include_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k most similar candidates of each query: dataset, id, rank, cid, sim."""
+    stored = materialise(emb, "embeddings")
+    blocked, groups = _blocked(stored, ["dataset"], block_rows)
+    units = materialise(groups.select("dataset", _numbers("blocks", "block")).withColumn("unit", F.monotonically_increasing_id()), "units")
+    rows = _streams(units, [(blocked, ["dataset", "block"], QUERIES), (stored, ["dataset"], CANDIDATES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        return _units(batches, (QUERIES,), lambda kept: _Best(kept, k, include_self))
+
+    return rows.mapInArrow(run, _Best.schema)
 
 
 def zero_shot(images: DataFrame, prompts: DataFrame) -> DataFrame:
