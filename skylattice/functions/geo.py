@@ -56,7 +56,7 @@ def release_year(release) -> Column:
     return F.create_map(*(F.lit(v) for kv in RELEASE_YEARS.items() for v in kv))[_c(release)]
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     """Structs (a, b) of neighbouring points of a closed ring."""
     return F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
 
@@ -70,7 +70,7 @@ def in_rings(rings, x, y) -> Column:
             at = (bx - ax) * (_c(y) - ay) / F.nullif(by - ay, F.lit(0.0)) + ax
             return F.coalesce(((ay > _c(y)) != (by > _c(y))) & (_c(x) < at), F.lit(False))
 
-        return F.size(F.filter(_edges(ring), crosses))
+        return F.size(F.filter(ring_edges(ring), crosses))
 
     return F.pmod(F.aggregate(_c(rings), F.lit(0), lambda n, r: n + crossings(r)), F.lit(2)) == 1
 
@@ -96,7 +96,7 @@ def overlaps_box(polygons, min_x, min_y, max_x, max_y) -> Column:
         (x0, x1), (y0, y1) = span(e["a"][0], e["b"][0], low_x, high_x), span(e["a"][1], e["b"][1], low_y, high_y)
         return F.greatest(F.lit(0.0), x0, y0) < F.least(F.lit(1.0), x1, y1)
 
-    crossed = F.exists(_c(polygons), lambda p: F.exists(p, lambda ring: F.exists(_edges(ring), runs_through)))
+    crossed = F.exists(_c(polygons), lambda p: F.exists(p, lambda ring: F.exists(ring_edges(ring), runs_through)))
     return crossed | in_region(polygons, (low_x + high_x) / 2, (low_y + high_y) / 2)
 
 

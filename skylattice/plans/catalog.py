@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from skylattice.functions import geo, text, vector
 from skylattice.functions.random_u import draw_without_replacement, uniform
-from skylattice.operators import captions, contrastive, fetch, provision, retrieval, sampling, tiles
+from skylattice.operators import captions, contrastive, fetch, provision, retrieval, sampling, spatial, tiles
 from skylattice.sources.images import is_image
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,52 @@ def point_in_polygon(spark, d):
     return _points(spark, d).select("id", "cell", geo.in_rings(rings, "lon", "lat").alias("inside"))
 
 
+_STAR = [(0, 3), (1, 1), (3, 0), (1, -1), (0, -3), (-1, -1), (-3, 0), (-1, 1), (0, 3)]
+_SQUARE = [(1, 1), (4, 1), (4, 4), (1, 4), (1, 1)]
+_CENTRES = "SELECT n_nationkey AS k, n_nationkey * 37 % 300 - 150 AS cx, n_nationkey * 53 % 140 - 70 AS cy, 3 + n_nationkey % 7 * 2 AS s FROM nation"
+_SHAPE_EDGES = ", ".join(f"({part}, {ax}, {ay}, {bx}, {by})" for part, ring in enumerate((_STAR, _SQUARE)) for (ax, ay), (bx, by) in zip(ring, ring[1:]))
+
+
+@query(f"""WITH r AS ({_CENTRES}), f(part, px, py, qx, qy) AS (VALUES {_SHAPE_EDGES}),
+e AS (SELECT k, part, (cx + s * px)::DOUBLE AS px, (cy + s * py)::DOUBLE AS py, (cx + s * qx)::DOUBLE AS qx, (cy + s * qy)::DOUBLE AS qy FROM r, f)
+SELECT DISTINCT id, k AS region_id FROM (SELECT id, k, part FROM {_POINTS} p JOIN e ON (py > lat) <> (qy > lat) AND lon < (qx - px) * (lat - py) / (qy - py) + px GROUP BY id, k, part HAVING count(*) % 2 = 1)""")
+def points_in_regions(spark, d):
+    """Points joined with many regions of overlapping polygons by quadtree cells."""
+    centres = _read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 37 % 300 - 150).alias("cx"), (F.col("n_nationkey") * 53 % 140 - 70).alias("cy"), (3 + F.col("n_nationkey") % 7 * 2).alias("s"))
+    ring = lambda shape: F.array(*(F.array((F.col("cx") + F.col("s") * x).cast("double"), (F.col("cy") + F.col("s") * y).cast("double")) for x, y in shape))
+    regions = centres.select(F.col("k").alias("region_id"), F.array(F.array(ring(_STAR)), F.array(ring(_SQUARE))).alias("polygons"))
+    return spatial.points_in_regions(_points(spark, d), regions, "lon", "lat").select("id", "region_id")
+
+
+def _by_nation(rows: DataFrame, ring) -> DataFrame:
+    """Regions of a polygon for each row (k, nation)."""
+    return rows.groupBy(F.col("nation").alias("region_id")).agg(F.collect_list(F.array(F.array(*(F.array(x.cast("double"), y.cast("double")) for x, y in ring)))).alias("polygons"))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS k, c_custkey * 7919 % 200 AS x, c_custkey * 104729 % 200 AS y, 3 + c_custkey % 8 AS r FROM customer),
+u AS (SELECT k, unnest(range(x + y - r, x + y + r)) AS u, x - y AS v, r FROM c), w AS (SELECT k, u, unnest(range(v - r, v + r)) AS v FROM u)
+SELECT k AS region_id, round(count(DISTINCT (u, v)) / 2, 6) AS area FROM w GROUP BY k""")
+def dissolved_area(spark, d):
+    """A1: the union of a nation's diamonds, whose sides cross everywhere; turned by 45 degrees they are whole squares."""
+    rows = _read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") * 7919 % 200).alias("x"), (F.col("c_custkey") * 104729 % 200).alias("y"), (3 + F.col("c_custkey") % 8).alias("r"))
+    x, y, r = (F.col(c) for c in "xyr")
+    regions = _by_nation(rows, [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)])
+    return spatial.areas(spatial.dissolve(regions)).select("region_id", _r6("area").alias("area"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS k, s_suppkey * 37 % 190 AS x, s_suppkey * 91 % 190 AS y, 1 + s_suppkey % 9 AS w, 1 + s_suppkey % 10 AS h FROM supplier),
+a AS (SELECT k, unnest(range(x, x + w)) AS x, y, h FROM s), b AS (SELECT DISTINCT k, x, unnest(range(y, y + h)) AS y FROM a)
+SELECT k AS region_id, (x // 25) * 8 + y // 25 AS box_id, round(count(*)::DOUBLE, 6) AS area FROM b GROUP BY ALL""")
+def region_overlaps(spark, d):
+    """U3s, J2: the areas that a nation's rectangles share with the cells of a grid."""
+    rows = _read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") * 37 % 190).alias("x"), (F.col("s_suppkey") * 91 % 190).alias("y"), (1 + F.col("s_suppkey") % 9).alias("w"), (1 + F.col("s_suppkey") % 10).alias("h"))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    regions = _by_nation(rows, [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)])
+    boxes = spark.range(64).select(F.col("id").alias("box_id"), (F.expr("id div 8") * 25.0).alias("min_x"), (F.col("id") % 8 * 25.0).alias("min_y"))
+    boxes = boxes.withColumns({"max_x": F.col("min_x") + 25, "max_y": F.col("min_y") + 25})
+    return spatial.overlaps(spatial.dissolve(regions), boxes).select("region_id", "box_id", _r6("area").alias("area"))
+
+
 @query()
 def region_sample(spark, d):
     """Grid-balanced points in a region (statistical and exactness tests; no oracle for rejection rounds)."""
