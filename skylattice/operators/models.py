@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, IntegerType
 
+from skylattice.functions.pixels import black, decode_image
+
 # Channel means and deviations of the image normalisation.
 CLIP_MEAN = (0.48145466, 0.4578275, 0.40821073)
 CLIP_STD = (0.26862954, 0.26130258, 0.27577711)
@@ -58,6 +61,50 @@ def random_resized_crop(pixels: np.ndarray, rng: np.random.Generator, size: int
     return out[:, ::-1] if rng.random() < 0.5 else out
 
 
+def eval_transform(size: int = 224) -> Callable[[np.ndarray, np.random.Generator], np.ndarray]:
+    return lambda pixels, rng: normalise_pixels(resize_crop(pixels, size))
+
+
+def train_transform(size: int = 224, scale=(0.08, 1.0)) -> Callable[[np.ndarray, np.random.Generator], np.ndarray]:
+    return lambda pixels, rng: normalise_pixels(random_resized_crop(pixels, rng, size, scale))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def image_vectors(rows: DataFrame, column: str, key: str, encoder: Callable[[], Callable[[np.ndarray], np.ndarray]] | None, transform: Callable[[np.ndarray, np.random.Generator], np.ndarray] | None = None, invalid: str = "black", size: int = 224, batch_size: int = 64, seed: str = "0", out: str = "vec", normalised: bool = True, decode: Callable[[bytes], np.ndarray | None] = decode_image) -> DataFrame:
+    """``rows`` without ``column``, the bytes of images, and with what the encoder makes of them.
+
+    Bytes are decoded to RGB pixels; undecodable and null ones become a black square (``invalid="black"``) or their rows
+    go (``"drop"``). ``transform`` (``eval_transform`` by default) gives the tensor of an image; its generator is seeded
+    by ``seed`` and the row's ``key``, so a repeated task draws the same crops. The encoder gets stacks of up to
+    ``batch_size`` tensors; a ``LazyModel`` is built once in each worker process. Without an encoder the tensors
+    themselves are returned, flat. An extra column of the name ``out`` is replaced."""
+    if invalid not in ("black", "drop"):
+        raise ValueError("invalid is black or drop")
+    transform = transform or eval_transform(size)
+    kept = [f for f in rows.schema.fields if f.name not in (column, out)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        model = encoder() if encoder else None
+        for frame in frames:
+            for at in range(0, len(frame), batch_size):
+                part = frame.iloc[at : at + batch_size]
+                pixels = [decode(x) if x is not None else None for x in part[column]]
+                if invalid == "drop":
+                    part = part[[x is not None for x in pixels]]
+                    pixels = [x for x in pixels if x is not None]
+                draws = (np.random.default_rng(zlib.crc32(f"{seed}/{k}".encode())) for k in part[key])
+                tensors = [transform(black(size) if x is None else x, rng) for x, rng in zip(pixels, draws)]
+                if tensors:
+                    vecs = np.asarray(model(np.stack(tensors)) if model else [t.ravel() for t in tensors], np.float32)
+                    vecs = _unit(vecs) if normalised and model else vecs
+                    yield part[[f.name for f in kept]].assign(**{out: list(vecs)})
+
+    return rows.mapInPandas(run, type(rows.schema)([*kept]).add(out, ArrayType(FloatType())))
+
+
 def encode(rows: DataFrame, column: str, encoder: Callable[[], Callable[[list], np.ndarray]], batch_size: int = 64, out: str = "vec", normalised: bool = True) -> DataFrame:
     """``rows`` with the encoder's vectors of ``column`` (images or texts), of unit length unless told otherwise."""
 
@@ -68,7 +115,7 @@ def encode(rows: DataFrame, column: str, encoder: Callable[[], Callable[[list],
                 part = frame.iloc[at : at + batch_size]
                 x = np.asarray(model(part[column].tolist()), np.float32)
                 if normalised:
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    x = _unit(x)
                 yield part.assign(**{out: list(x)})
 
     return rows.mapInPandas(run, type(rows.schema)([*rows.schema.fields]).add(out, ArrayType(FloatType())))

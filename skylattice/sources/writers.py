@@ -50,9 +50,10 @@ def html_report(rows: list, checkpoint: str, benchmark: str) -> str:
     body = "\n".join(f'<tr{" class=avg" if r[0] == "Average" else ""}>{cells(r)}</tr>' for r in rows)
     images = next((r[1] for r in rows if r[0] == "Average"), 0)
     title = os.path.splitext(os.path.basename(checkpoint))[0]
-    facts = f"Checkpoint: {e(os.path.basename(checkpoint))} · Benchmark: {e(os.path.basename(benchmark.rstrip('/')))} ({len(rows) - 1} datasets) · Total images: {e(images)}"
+    sets, where = len(rows) - 1, os.path.basename(benchmark.rstrip("/"))
+    facts = f"Model {e(os.path.basename(checkpoint))}, measured on {e(images)} images in {sets} sets of {e(where)}"
     style = "body{font-family:sans-serif;margin:2rem auto;max-width:70rem}td,th{padding:.4rem .8rem;text-align:left;border-bottom:1px solid #ddd}.avg td{font-weight:bold}"
-    return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>Evaluation Report - {e(title)}</title><style>{style}</style></head><body><h1>Image Retrieval Evaluation Report</h1><p>{facts}</p><table><tr>{"".join(f"<th>{x}</th>" for x in REPORT)}</tr>\n{body}\n</table></body></html>'
+    return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>Retrieval quality of {e(title)}</title><style>{style}</style></head><body><h1>How well images find their class</h1><p>{facts}</p><table><tr>{"".join(f"<th>{x}</th>" for x in REPORT)}</tr>\n{body}\n</table></body></html>'
 
 
 def write_html_report(report: DataFrame, checkpoint: str, benchmark: str, path: str) -> None:
