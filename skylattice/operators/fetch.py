@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
+from skylattice.operators.provision import exact_batches
 from skylattice.operators.tiles import keep_first, todo, with_key
 
 OUTCOME = "key string, status string, attempts int, http_code int, image_bytes binary"
 TILES = "group_id string, is_multi_group boolean, zoom int, release_id int, year int, tile_lat double, tile_lon double, file_name string, image_bytes binary"
+BATCHES = "batch_id long, try int, state string, fetched long, missing long, seconds double"
 STATUS = "key string, status string, attempts int, http_code int"
 
 
@@ -91,6 +93,48 @@ def run_fetch(tiles: DataFrame, client, out: str, batches: int = 1, **options) -
         outcomes.select("key", "status", "attempts", "http_code").write.mode("append").parquet(f"{out}/status")
 
 
+def _stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame:
+    """The tries of batches that ended: batch_id, try, state (done, or partial where requests failed), fetched, missing,
+    seconds and rate."""
+    states = spark.read.schema(BATCHES).parquet(f"{out}/batches") if _stored(spark, f"{out}/batches") else spark.createDataFrame([], BATCHES)
+    return states.withColumn("rate", F.coalesce(F.try_divide(F.col("fetched").cast("double"), "seconds"), F.lit(0.0)))
+
+
+def run_batches(tiles: DataFrame, client, out: str, batch_size: int = 50_000, clock: Callable[[], float] = time.monotonic, **options) -> DataFrame:
+    """Fetch tiles in batches of exactly ``batch_size`` requests, each a unit of commit; returns ``read_batches``.
+
+    The plan, which batch a tile is in, is stored first; a later run goes by it and takes no new tiles. The tables of a
+    batch's try are replaced until its state is appended: after a crash a try is repeated as a whole and leaves no second
+    copy. A batch with failed requests is partial, and a later run tries these again."""
+    spark, plan = tiles.sparkSession, f"{out}/plan"
+    if not _stored(spark, plan):
+        exact_batches(keep_first(with_key(tiles), ["key"], "group_id"), "key", batch_size).write.mode("overwrite").partitionBy("batch_id").parquet(plan)
+    planned = spark.read.parquet(plan)
+    ended = read_batches(spark, out).groupBy("batch_id").agg(F.max("try").alias("last"), F.max_by("state", "try").alias("state"))
+    open_batches = planned.select("batch_id").distinct().join(ended, "batch_id", "left").where("state is null or state <> 'done'")
+    for r in open_batches.orderBy("batch_id").collect():  # a row for each open batch
+        b, n = r.batch_id, 0 if r.last is None else r.last + 1
+        part = planned.where(F.col("batch_id") == b).drop("batch_id")
+        if n:
+            earlier = spark.read.schema(OUTCOME).parquet(f"{out}/outcomes/batch_id={b}").where("status in ('ok', 'not_found')")
+            part = part.join(earlier.select("key"), "key", "left_anti")
+        place, began = f"batch_id={b}/try={n}", clock()
+        fetch(part, client, **options).write.mode("overwrite").parquet(f"{out}/outcomes/{place}")
+        outcomes = spark.read.schema(OUTCOME).parquet(f"{out}/outcomes/{place}")
+        counts = fetch_summary(outcomes).first()
+        fetched_tiles(part.drop("key"), outcomes).write.mode("overwrite").parquet(f"{out}/tiles/{place}")
+        failed = outcomes.where("status = 'failed'").limit(1).count()
+        row = [(b, n, "partial" if failed else "done", counts.fetched, counts.missing, float(clock() - began))]
+        spark.createDataFrame(row, BATCHES).coalesce(1).write.mode("append").parquet(f"{out}/batches")
+    return read_batches(spark, out)
+
+
 def read_tiles(spark: SparkSession, out: str) -> DataFrame:
     """Each tile once: of copies that a repeated request left, the one of the smallest group."""
     return keep_first(spark.read.schema(TILES).parquet(f"{out}/tiles"), ["file_name"], "group_id")
