@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skylattice.functions.vector import dot, normalise
-from skylattice.storage import join_small, materialise
+from skylattice.storage import fits_broadcast, join_small, materialise
 
 KS = (1, 5, 10)
 #: Vectors in a block of queries or of relevant candidates, and candidates that a task looks at together.
@@ -84,9 +84,10 @@ def _numbers(n: str, name: str) -> Column:
 def _streams(units: DataFrame, parts: list[tuple[DataFrame, list[str], int]]) -> DataFrame:
     """Rows (unit, kind, dataset, label, id, vec): the parts of each unit one after another, in order of id. A part is a
     table, the columns it shares with the units, and its kind."""
-    rows = None
+    rows, small = None, fits_broadcast(units)
     for part, on, kind in parts:
-        more = join_small(part, units.select("unit", *on), on).select("unit", F.lit(kind).alias("kind"), "dataset", "label", "id", "vec")
+        wanted = units.select("unit", *on)
+        more = part.join(F.broadcast(wanted) if small else wanted, on).select("unit", F.lit(kind).alias("kind"), "dataset", "label", "id", "vec")
         rows = more if rows is None else rows.unionByName(more)
     return rows.repartition("unit").sortWithinPartitions("unit", "kind", "id")
 

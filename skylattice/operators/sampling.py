@@ -33,6 +33,13 @@ def cell_quotas(cells: DataFrame, total: int, order: str = "cell_seq", balanced:
     return cells.withColumn("quota", share.cast("long"))
 
 
+def first_of_cell(points: DataFrame, cell: str, quota: int, *order) -> DataFrame:
+    """The first ``quota`` points of each cell in an order, with their place ``nth``. A task keeps no more of a cell than
+    that before the shuffle."""
+    nth = F.row_number().over(W.partitionBy(cell).orderBy(*order))
+    return points.withColumn("__nth", nth).where(F.col("__nth") <= quota).withColumn("nth", F.col("__nth").cast("long")).drop("__nth")
+
+
 def overlapping_cells(cells: DataFrame, region: Column) -> DataFrame:
     """Cells (min_x, min_y, max_x, max_y) that share an area with the region; a shared edge isn't enough. Cells outside
     the region's box are dropped before its edges are looked at."""

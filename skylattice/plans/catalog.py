@@ -14,8 +14,10 @@ from pyspark.sql.window import Window as W
 
 from skylattice.functions import geo, text, vector
 from skylattice.functions.random_u import draw_without_replacement, uniform
-from skylattice.operators import captions, contrastive, fetch, provision, retrieval, sampling, spatial, tiles
+from skylattice.operators import captions, contrastive, evaluation, fetch, provision, retrieval, sampling, spatial, tiles
+from skylattice.sources import tables, writers
 from skylattice.sources.images import is_image
+from skylattice.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,8 +187,7 @@ def grid_quota(spark, d):
 @query(f"SELECT id, cell, nth FROM (SELECT id, cell, row_number() OVER (PARTITION BY cell ORDER BY {_u('id', 'pick')}, id) AS nth FROM {_POINTS}) WHERE nth <= 20")
 def grid_assign(spark, d):
     """A quota of points in each cell."""
-    order = W.partitionBy("cell").orderBy(uniform("id", "pick"), "id")
-    return _points(spark, d).withColumn("nth", F.row_number().over(order).cast("long")).where("nth <= 20").select("id", "cell", "nth")
+    return sampling.first_of_cell(_points(spark, d), "cell", 20, uniform("id", "pick"), "id").select("id", "cell", "nth")
 
 
 _POLYGON = [[[-120.0, -50.0], [130.0, -40.0], [100.0, 60.0], [0.0, 20.0], [-100.0, 70.0], [-120.0, -50.0]], [[-40.0, -20.0], [40.0, -20.0], [40.0, 10.0], [-40.0, 10.0], [-40.0, -20.0]]]
@@ -211,10 +212,14 @@ e AS (SELECT k, part, (cx + s * px)::DOUBLE AS px, (cy + s * py)::DOUBLE AS py,
 SELECT DISTINCT id, k AS region_id FROM (SELECT id, k, part FROM {_POINTS} p JOIN e ON (py > lat) <> (qy > lat) AND lon < (qx - px) * (lat - py) / (qy - py) + px GROUP BY id, k, part HAVING count(*) % 2 = 1)""")
 def points_in_regions(spark, d):
     """Points joined with many regions of overlapping polygons by quadtree cells."""
+    return spatial.points_in_regions(_points(spark, d), _shapes(spark, d), "lon", "lat").select("id", "region_id")
+
+
+def _shapes(spark, d):
+    """A star and a square round a centre for each nation."""
     centres = _read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 37 % 300 - 150).alias("cx"), (F.col("n_nationkey") * 53 % 140 - 70).alias("cy"), (3 + F.col("n_nationkey") % 7 * 2).alias("s"))
     ring = lambda shape: F.array(*(F.array((F.col("cx") + F.col("s") * x).cast("double"), (F.col("cy") + F.col("s") * y).cast("double")) for x, y in shape))
-    regions = centres.select(F.col("k").alias("region_id"), F.array(F.array(ring(_STAR)), F.array(ring(_SQUARE))).alias("polygons"))
-    return spatial.points_in_regions(_points(spark, d), regions, "lon", "lat").select("id", "region_id")
+    return centres.select(F.col("k").alias("region_id"), F.array(F.array(ring(_STAR)), F.array(ring(_SQUARE))).alias("polygons"))
 
 
 def _by_nation(rows: DataFrame, ring) -> DataFrame:
@@ -246,14 +251,54 @@ def region_overlaps(spark, d):
     return spatial.overlaps(spatial.dissolve(regions), boxes).select("region_id", "box_id", _r6("area").alias("area"))
 
 
-@query()
-def region_sample(spark, d):
-    """Grid-balanced points in a region (statistical and exactness tests; no oracle for rejection rounds)."""
+def _sample_sql(total: int, rounds: int) -> str:
+    """The sampling as SQL, as far as ``rounds`` rounds go; a cell that needed more would come short."""
+    edges = ", ".join(f"({px}, {py}, {qx}, {qy})" for ring in _POLYGON for (px, py), (qx, qy) in zip(ring, ring[1:]))
+    xs, ys = ([p[k] for ring in _POLYGON for p in ring] for k in (0, 1))
+
+    def span(p, q, low, high):
+        first, last = (f"({side} - {p}) / nullif({q} - {p}, 0)" for side in (low, high))
+        flat = f"{p} = {q}"
+        return f"CASE WHEN {flat} THEN CASE WHEN {p} > {low} AND {p} < {high} THEN 0.0 ELSE 2.0 END ELSE least({first}, {last}) END", f"CASE WHEN {flat} THEN 1.0 ELSE greatest({first}, {last}) END"
+
+    (x0, x1), (y0, y1) = span("px", "qx", "min_x", "max_x"), span("py", "qy", "min_y", "max_y")
+    parts = []
+    for r in range(rounds):
+        before = " UNION ALL ".join(f"SELECT cell_id FROM p{k}" for k in range(r))
+        lack = f"SELECT k.*, quota - coalesce(got, 0) AS lack FROM k LEFT JOIN (SELECT cell_id, count(*) AS got FROM ({before}) GROUP BY cell_id) USING (cell_id)" if r else "SELECT *, quota AS lack FROM k"
+        key = f"concat_ws('/', '0', cell_id, '{r}', i)"
+        parts.append(f"""t{r} AS (SELECT *, unnest(range(greatest({1000 if r == 0 else 100}, 3 * lack) * {2**r})) AS i FROM ({lack}) WHERE lack > 0),
+d{r} AS (SELECT cell_id, i, lx + {_u(key, 1)} * (hx - lx) AS lon, ly + {_u(key, 2)} * (hy - ly) AS lat FROM (SELECT *, greatest(min_x, {min(xs)}::DOUBLE) AS lx, least(max_x, {max(xs)}::DOUBLE) AS hx, greatest(min_y, {min(ys)}::DOUBLE) AS ly, least(max_y, {max(ys)}::DOUBLE) AS hy FROM t{r})),
+p{r} AS (SELECT {r} AS round, * FROM d{r} WHERE ({_CROSS}) % 2 = 1)""")
+    found = " UNION ALL ".join(f"SELECT * FROM p{r}" for r in range(rounds))
+    return f"""WITH n AS (SELECT n_nationkey AS cell_id, (n_nationkey % 5 * 60 - 150)::DOUBLE AS min_x, (n_nationkey // 5 * 30 - 75)::DOUBLE AS min_y FROM nation),
+c AS (SELECT *, min_x + 60 AS max_x, min_y + 30 AS max_y, min_x + 30 AS lon, min_y + 15 AS lat FROM n), e(px, py, qx, qy) AS (SELECT * FROM (VALUES {edges}) v(a, b, c, d)),
+o AS (SELECT * FROM c WHERE ({_CROSS}) % 2 = 1 OR EXISTS (SELECT 1 FROM (SELECT px::DOUBLE AS px, py::DOUBLE AS py, qx::DOUBLE AS qx, qy::DOUBLE AS qy FROM e) WHERE greatest(0.0, {x0}, {y0}) < least(1.0, {x1}, {y1}))),
+q AS (SELECT *, row_number() OVER (ORDER BY cell_id) - 1 AS cs, ceil({total} / count(*) OVER ())::BIGINT AS share FROM o),
+k AS (SELECT * EXCLUDE (lon, lat), coalesce(sum(quota) OVER (ORDER BY cs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT *, greatest(0, least(share, {total} - cs * share)) AS quota FROM q) WHERE quota > 0),
+{", ".join(parts)},
+f AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round, i) AS nth FROM ({found}))
+SELECT f.cell_id, (first + nth - 1)::BIGINT AS seq, lon, lat FROM f JOIN k USING (cell_id) WHERE nth <= quota"""
+
+
+def _grid(spark, d):
     nation = _read(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
     cells = nation.select(F.col("k").alias("cell_id"), (F.pmod("k", F.lit(5)) * 60.0 - 150).alias("min_x"), (F.floor(F.col("k") / 5) * 30.0 - 75).alias("min_y"))
-    cells = cells.withColumns({"max_x": F.col("min_x") + 60, "max_y": F.col("min_y") + 30})
+    return cells.withColumns({"max_x": F.col("min_x") + 60, "max_y": F.col("min_y") + 30})
+
+
+@query(_sample_sql(600, 4))
+def region_sample(spark, d):
+    """Grid-balanced points in a region."""
     region = F.array(F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in ring)) for ring in _POLYGON)))
-    return sampling.sample_in_region(cells, region, 600)
+    return sampling.sample_in_region(_grid(spark, d), region, 600)
+
+
+@query(f"""WITH r AS ({_CENTRES}), f(part, px, py, qx, qy) AS (VALUES {_SHAPE_EDGES})
+SELECT k AS region_id, min((cx + s * px)::DOUBLE) AS min_x, min((cy + s * py)::DOUBLE) AS min_y, max((cx + s * px)::DOUBLE) AS max_x, max((cy + s * py)::DOUBLE) AS max_y FROM r, f GROUP BY k""")
+def region_bounds(spark, d):
+    """A2: boxes of regions."""
+    return _shapes(spark, d).select("region_id", geo.bounds("polygons").alias("b")).select("region_id", "b.*")
 
 
 @query(f"SELECT release, count(*) AS groups FROM (SELECT unnest(rs) AS release FROM (SELECT {_draw('id', 'shareR', list(geo.RELEASE_YEARS), None, '2')} AS rs FROM {_POINTS})) GROUP BY release")
@@ -263,6 +308,45 @@ def release_draws(spark, d):
     return _points(spark, d).select(F.explode(drawn).alias("release")).groupBy("release").agg(F.count("*").alias("groups"))
 
 
+_EVENT_TILE = "event_id % 1000 AS x, event_id // 1000 AS y"
+
+
+@query(f"""SELECT concat_ws('_', '239', '14', x, y) AS file_name, round((x + 0.5) / 16384 * 360 - 180, 6) AS tile_lon, octet_length(encode(props)) ::INTEGER AS n_bytes
+FROM (SELECT props, event_id, {_EVENT_TILE} FROM events) WHERE event_id % 5 < 3 AND props IS NOT NULL AND event_id % 11 <> 0""")
+def fetched_content(spark, d):
+    """Outcomes joined to their requests, without those that brought no content."""
+    e = _read(spark, d, "events").select("event_id", "props", (F.col("event_id") % 1000).cast("int").alias("x"), F.expr("cast(event_id div 1000 as int)").alias("y"))
+    e = e.withColumns({"release_id": F.lit(239), "zoom": F.lit(14), "year": F.lit(2018), "group_id": F.col("event_id").cast("string"), "is_multi_group": F.lit(False)})
+    tiles_of = e.withColumn("file_name", geo.file_name("release_id", "zoom", "x", "y"))
+    content = F.when(F.col("event_id") % 11 != 0, F.col("props").cast("binary"))
+    outcomes = e.select(geo.tile_key("release_id", "zoom", "x", "y").alias("key"), F.when(F.col("event_id") % 5 < 3, "ok").otherwise("failed").alias("status"), content.alias("image_bytes"))
+    got = fetch.fetched_tiles(tiles_of.drop("event_id", "props"), outcomes)
+    return got.select("file_name", _r6("tile_lon").alias("tile_lon"), F.octet_length("image_bytes").alias("n_bytes"))
+
+
+@query("SELECT DISTINCT key FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('239/14/', o_custkey, '/1') END AS key FROM orders) WHERE key <> ''")
+def done_keys(spark, d):
+    """The distinct keys of a written list, without blanks round them and blank lines."""
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.lit(" \t")).otherwise(F.concat(F.lit(" 239/14/"), F.col("o_custkey").cast("string"), F.lit("/1 \t")))
+    path = new_path(spark, "done-keys")
+    _read(spark, d, "orders").select(line.alias("value")).write.text(path)
+    return tables.read_done_keys(spark, path)
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 42")
+def row_lookup(spark, d):
+    """A row by its index."""
+    return tables.row_at(_read(spark, d, "documents"), 42, "doc_id").select("doc_id", "lang", "source")
+
+
+@query(f"SELECT id, cell, rn::BIGINT AS rn, ((rn - 1) // 64)::BIGINT AS batch_id FROM (SELECT id, cell, row_number() OVER (ORDER BY {_u('id', 'batches')}, id) AS rn FROM {_POINTS})")
+def exact_batches(spark, d):
+    """Batches of exactly 64 requests, and the places they come from."""
+    points = _points(spark, d)
+    placed = provision.global_rank(points, uniform("id", "batches"), "id").select("id", "cell", "rn")
+    return placed.join(provision.exact_batches(points, "id", 64).select("id", "batch_id"), "id")
+
+
 # --- text -----------------------------------------------------------------------------------------------------------
 
 _WORDS = r"""list_filter(list_transform(string_split(text, ','), lambda s: regexp_replace(regexp_replace(s, '[\[\]()"'']', '', 'g'), '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
@@ -346,7 +430,7 @@ def stem_name(spark, d):
 def image_paths(spark, d):
     """Rows with bytes, and default paths."""
     rows = _read(spark, d, "pages").select("page_id", F.struct(F.when(F.col("page_id") % 7 != 0, F.col("url").cast("binary")).alias("bytes"), F.when(F.col("page_id") % 4 != 0, F.col("url")).alias("path")).alias("image"))
-    return rows.where("image.bytes is not null").select("page_id", text.image_path("image.path", "page_id").alias("path"))
+    return writers.named_images(rows, "page_id").select("page_id", "path")
 
 
 # --- provisioning ---------------------------------------------------------------------------------------------------
@@ -464,9 +548,7 @@ UNION ALL SELECT 'Average', sum(num_images)::BIGINT, '-', {', '.join(f'''printf(
 def report_rows(spark, d):
     """A10, P19, U1s: rows of the report."""
     emb = _emb(spark, d, True)
-    sets = retrieval.summarise(retrieval.per_query(emb, include_self=False), ["dataset"])
-    classes = emb.groupBy("dataset").agg(F.countDistinct("label").alias("num_classes"))
-    return retrieval.report_rows(sets.join(classes, "dataset"))
+    return retrieval.report_rows(evaluation.set_quality(emb, emb.select("dataset", F.col("label").alias("class")), include_self=False))
 
 
 @query(f"SELECT id, rank, cid, round(sim, 6) AS sim FROM (SELECT id, cid, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cid) AS rank FROM (SELECT a.id, b.id AS cid, list_cosine_similarity(a.vec, b.vec) AS sim FROM {_VEC} a JOIN {_VEC} b ON a.id <> b.id)) WHERE rank <= 10")

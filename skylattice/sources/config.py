@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,6 +15,9 @@ DEFAULTS = {
     "seed_everything": 0,
 }
 
+# Names that YAML would read as something else.
+YAML_WORDS = ("y", "n", "yes", "no", "on", "off", "true", "false", "null")
+
 
 def merge(base: dict, over: dict) -> dict:
     return base | {k: merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
@@ -41,11 +45,22 @@ def load_config(path: str | None = None, overrides: dict[str, object] | None = N
     return config
 
 
+def yaml_text(config: dict, indent: str = "") -> str:
+    """Nested settings as YAML: a line for each, names and scalars as in JSON, which YAML reads."""
+    lines = []
+    for name, value in config.items():
+        key = name if re.fullmatch(r"[A-Za-z_]\w*", name) and name.lower() not in YAML_WORDS else json.dumps(name)
+        lines.append(f"{indent}{key}:\n{yaml_text(value, indent + '  ')}" if isinstance(value, dict) and value else f"{indent}{key}: {json.dumps(value)}\n")
+    return "".join(lines)
+
+
 def save_latest(config: dict, path: str) -> str:
-    """Write the effective configuration beside ``path`` as <stem>-latest.json, replacing an earlier one."""
+    """Write the effective configuration beside ``path`` as <stem>-latest, replacing an earlier one: as JSON beside a JSON
+    file, else as YAML."""
     p = Path(path)
-    out = p.with_name(f"{p.stem.removesuffix('-latest')}-latest.json")
-    out.write_text(json.dumps(config, indent=2))
+    kind = ".json" if p.suffix == ".json" else ".yaml"
+    out = p.with_name(f"{p.stem.removesuffix('-latest')}-latest{kind}")
+    out.write_text(json.dumps(config, indent=2) if kind == ".json" else yaml_text(config))
     return str(out)
 
 

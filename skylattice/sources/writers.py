@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import os
+import time
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from skylattice.functions.text import base_name, image_path, label_from_path
 from skylattice.operators.tiles import keep_last
@@ -15,11 +18,15 @@ from skylattice.operators.tiles import keep_last
 REPORT = ("Dataset", "Images", "Classes", "R@1", "R@5", "R@10", "MRR", "MAP")
 
 
+def named_images(images: DataFrame, row: str = "row_idx") -> DataFrame:
+    """Rows whose image struct<bytes, path> has bytes, with ``path``, made up from the row's number where it is missing."""
+    return images.where("image.bytes is not null").withColumn("path", image_path("image.path", row))
+
+
 def labelled_images(images: DataFrame, mode: str = "first") -> DataFrame:
     """Rows (label, file, content) of row_idx and image struct<bytes, path>; rows without bytes are left out, and of equal
     files the last stays."""
-    rows = images.where("image.bytes is not null").withColumn("path", image_path("image.path", "row_idx"))
-    named = rows.select(label_from_path("path", mode).alias("label"), base_name("path").alias("file"), F.col("image.bytes").alias("content"), "row_idx")
+    named = named_images(images).select(label_from_path("path", mode).alias("label"), base_name("path").alias("file"), F.col("image.bytes").alias("content"), "row_idx")
     return keep_last(named, ["label", "file"], "row_idx").drop("row_idx")
 
 
@@ -69,10 +76,56 @@ def write_metrics_csv(epochs: DataFrame, path: str) -> None:
     text.orderBy("epoch").coalesce(1).write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
 
 
+def fetch_counters() -> dict[str, Column]:
+    return {"fetched": F.count_if(F.col("status") == "ok"), "missing": F.count_if(F.col("status") != "ok")}
+
+
+def caption_counters() -> dict[str, Column]:
+    return {"captioned": F.count_if(F.col("status") == "success"), "uncaptioned": F.count_if(F.col("status") != "success")}
+
+
 def observed(outcomes: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
     """Counters of fetched and missing rows that fill while another action runs."""
     seen = Observation(name)
-    return outcomes.observe(seen, F.count_if(F.col("status") == "ok").alias("fetched"), F.count_if(F.col("status") != "ok").alias("missing")), seen
+    return outcomes.observe(seen, *(c.alias(n) for n, c in fetch_counters().items())), seen
+
+
+class Progress(StreamingQueryListener):
+    """Counters that fill while other actions run: those of batch tables when ``snapshot`` is taken, after their actions,
+    and those of streams, once the object is added to ``spark.streams``, with each micro-batch."""
+
+    def __init__(self, clock: Callable[[], float] = time.monotonic):
+        self.clock, self.began, self.streamed, self.batches = clock, clock(), {}, []
+
+    def watch(self, rows: DataFrame, name: str, counters: dict[str, Column]) -> DataFrame:
+        columns = [c.alias(n) for n, c in counters.items()]
+        if rows.isStreaming:
+            return rows.observe(name, *columns)
+        self.batches.append(Observation(name))
+        return rows.observe(self.batches[-1], *columns)
+
+    def snapshot(self) -> dict[str, float]:
+        """Sums of all counters, and with ``_rate`` what each gains in a second. Waits for the actions of batch tables."""
+        sums = dict(self.streamed)
+        for seen in self.batches:
+            for n, x in seen.get.items():
+                sums[n] = sums.get(n, 0) + x
+        seconds = self.clock() - self.began
+        return sums | {f"{n}_rate": x / seconds if seconds > 0 else 0.0 for n, x in sums.items()}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for row in event.progress.observedMetrics.values():
+            for n, x in row.asDict().items():
+                self.streamed[n] = self.streamed.get(n, 0) + x
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def run_name(now: datetime, prefix: str = "CLIP") -> str:
