@@ -19,7 +19,7 @@ ROWS = [
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     sf_dir = str(tmp_path_factory.mktemp("sf"))
-    spark.createDataFrame([(8, 0, 1), (7, 1, 0), (4, 1, 0), (99, None, 1), (None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame([(8, 0, 1), *((i, 1, 0) for i in range(1, 8)), (99, None, 1), (None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
     spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (1, "quick brown fox jumps over the lazy dog")], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
     return sf_dir
 
