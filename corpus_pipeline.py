@@ -16,9 +16,9 @@ from skylattice.storage import materialise
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go. Labels of documents that aren't here teach nothing.
 
-    Null and empty texts have the score of texts without known terms and stay; repeated rows get equal scores and go or
-    stay together; long texts are scored as a whole; without labels all stay. Extra columns are kept, whatever their
-    names; an empty table gives no rows."""
+    Null and empty texts have the score of texts without known terms, drawn towards the toxic rate of the examples; repeated
+    rows get equal scores and go or stay together; long texts are scored as a whole; without labels all stay. Extra columns
+    are kept, whatever their names; an empty table gives no rows."""
     index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.reject_toxic(docs, index)
 
