@@ -139,19 +139,6 @@ def near_duplicates(prints: DataFrame, max_bucket: int = 128) -> DataFrame:
     return prints.join(components_of(prints, max_bucket), "fp")
 
 
-def deduplicate(docs: DataFrame, max_bucket: int = 128) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, that of the smallest doc_id (then the smallest text hash;
-    of rows equal in both, one)."""
-    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
-    prints = materialise(fingerprints(marked.select("doc_id", "text", "__text_hash")), "prints")
-    same = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "__text_hash")).alias("first"))
-    labelled = components_of(prints, max_bucket).join(same, "fp")
-    kept = labelled.groupBy(F.coalesce("component_id", "fp").alias("c"), F.isnull("component_id").alias("no_id")).agg(F.min("first").alias("first")).select("first.*")
-    kept = materialise(kept.select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")), "kept")
-    rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
-
-
 def op6_simhash(spark, sf_dir):
     prints = materialise(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "prints")
     return near_duplicates(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

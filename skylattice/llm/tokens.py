@@ -431,7 +431,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     kept = docs.select("doc_id", "text")
     if stored_order:
         file, order = F.col("_metadata.file_name"), ["__part", "__file", "__row"]
-        part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+        unnamed = F.raise_error(F.concat(F.lit("no number of a part in "), file)).cast("long")
+        part = F.coalesce(F.nullif(F.regexp_extract(file, r"^part-(\d+)", 1), F.lit("")).cast("long"), unnamed)
         kept = docs.select("doc_id", "text", part.alias("__part"), file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
     ranged = kept.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialise(ranged.mapInArrow(run, "part int, shard int, name string, n_tokens long, n_docs long"), "shards")

@@ -83,16 +83,6 @@ def test_chain_of_links(spark):
     assert got == {i: 0 for i in range(41)} | {50: 50, 51: 50}
 
 
-def test_deduplicate_keeps_one_of_each(spark):
-    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    rows = [(3, text, 1), (2, text, 2), (2, text, 2), (9, None, 1), (8, "", 1), (None, "other words entirely here", 1), (4, "a wholly different text of some words", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, __fp int")
-    got = simhash.deduplicate(docs)
-    assert got.columns == docs.columns
-    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("2", text), ("8", ""), ("None", "other words entirely here"), ("4", "a wholly different text of some words")])
-
-
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(simhash.fingerprints(docs)).count() == 0
-    assert simhash.deduplicate(docs).count() == 0
