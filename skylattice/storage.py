@@ -18,7 +18,8 @@ def work_dir(spark: SparkSession) -> str:
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="skylattice-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
