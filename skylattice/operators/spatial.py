@@ -98,9 +98,11 @@ def points_in_regions(points: DataFrame, regions: DataFrame, x: str, y: str, max
 
 
 def _pieces(regions: DataFrame) -> DataFrame:
-    """Edges of regions cut at the strips of their region: region_id, part (number of the polygon), the line through
-    (ax, ay) and (bx, by) with ax < bx, strip, and the x-range [lo, hi] in it."""
-    rings = regions.select("region_id", F.posexplode("polygons").alias("part", "rings")).select("region_id", "part", F.explode("rings").alias("ring"))
+    """Edges of regions cut at the strips of their region: region_id, part (names the polygon), the line through (ax, ay)
+    and (bx, by) with ax < bx, strip, and the x-range [lo, hi] in it."""
+    polygons = regions.select("region_id", F.explode("polygons").alias("rings")).distinct()  # a copy adds nothing to a union
+    polygons = materialise(polygons.withColumn("part", F.monotonically_increasing_id()), "polygons")
+    rings = polygons.select("region_id", "part", F.explode("rings").alias("ring"))
     ends = rings.select("region_id", "part", F.explode(geo.ring_edges(F.col("ring"))).alias("e"))
     a, b = ((F.col("e")[k][0].cast("double"), F.col("e")[k][1].cast("double")) for k in ("a", "b"))
     first = a[0] < b[0]
@@ -142,7 +144,8 @@ def dissolve(regions: DataFrame) -> DataFrame:
     Between neighbouring ends and crossings of edges no two edges cross: in such a slab, edges are sorted by height and
     counted from below, and what any polygon covers lies between the edges at which the count of polygons leaves 0 and
     returns to it. Regions are cut into strips of some ``STRIP_EDGES`` ends, so that a large region is no single group;
-    the work grows with the edges that vertical lines through all ends would meet. Vertical edges bound slabs only."""
+    the work grows with the edges that vertical lines through all ends would meet. Vertical edges bound slabs only. Equal
+    polygons of a region count once, and a region may have several rows, whose polygons it unites."""
     pieces = _pieces(regions)
     ends = pieces.select("region_id", "strip", F.explode(F.array("lo", "hi")).alias("x")).unionByName(_crossings(pieces)).distinct()
     by_x = W.partitionBy("region_id", "strip").orderBy("x")

@@ -223,8 +223,8 @@ def _shapes(spark, d):
 
 
 def _by_nation(rows: DataFrame, ring) -> DataFrame:
-    """Regions of a polygon for each row (k, nation)."""
-    return rows.groupBy(F.col("nation").alias("region_id")).agg(F.collect_list(F.array(F.array(*(F.array(x.cast("double"), y.cast("double")) for x, y in ring)))).alias("polygons"))
+    """A row of a region, with one polygon, for each row (nation)."""
+    return rows.select(F.col("nation").alias("region_id"), F.array(F.array(F.array(*(F.array(x.cast("double"), y.cast("double")) for x, y in ring)))).alias("polygons"))
 
 
 @query("""WITH c AS (SELECT c_nationkey AS k, c_custkey * 7919 % 200 AS x, c_custkey * 104729 % 200 AS y, 3 + c_custkey % 8 AS r FROM customer),

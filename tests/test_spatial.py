@@ -91,3 +91,15 @@ def test_holes_copies_and_shared_sides(spark):
     regions = [(1, [[square(0.0, 0.0, 4.0), square(1.0, 1.0, 2.0)]]), (2, [[square(0.0, 0.0, 4.0)]] * 50), (3, [[square(0.0, 0.0, 2.0)], [square(2.0, 0.0, 2.0)], [square(0.0, 2.0, 2.0)]]), (4, [[square(0.0, 0.0, 4.0), square(1.0, 1.0, 2.0)], [square(1.0, 1.0, 1.0)]])]
     got = spatial.dissolve(spark.createDataFrame(regions, SCHEMA))
     assert {x.region_id: x.area for x in spatial.areas(got).collect()} == pytest.approx({1: 12, 2: 16, 3: 12, 4: 13})
+
+
+def test_copies_of_polygons_are_dissolved_once(spark):
+    """Copies in a region, in one row or in many, go before edges are paired. Polygons of several rows are united as those
+    of one."""
+    diamond = lambda x, y, r: [[[x - r, y], [x, y - r], [x + r, y], [x, y + r], [x - r, y]]]
+    distinct = [diamond(float(x), 0.0, 2.0) for x in range(3)]
+    once, often = [(1, distinct)], [(1, distinct * 50)] + [(1, [p]) for p in distinct * 50]
+    few, many = (spatial.dissolve(spark.createDataFrame(rows, SCHEMA)) for rows in (once, often))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert spatial._pieces(spark.createDataFrame(often, SCHEMA)).count() == 12
+    assert [x.area for x in spatial.areas(many).collect()] == pytest.approx([8 + 2 * 3.5])
