@@ -41,6 +41,8 @@ BLOCK = 4096
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 8 << 20
+#: Words, and bytes of words and of their ids, that an encoder remembers.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 20, 32 << 20
 #: Bytes of a plane that are packed together.
 CHUNK_BYTES = 1 << 13
 MAGIC = b"WVM2"
@@ -77,7 +79,8 @@ class Rows:
 
 
 class WordEncoder:
-    """The tokenizers library, called once for each distinct word of a slice of texts.
+    """The tokenizers library, called once for each distinct word of a slice of texts that isn't remembered from slices
+    before; when too many are, those of the slice replace them.
 
     A byte-level pre-tokenizer joins a space to what follows it and looks across white space only within a run of it. So
     a text can be encoded word by word, where words end before a space and before a line feed: the first kind gets its
@@ -105,6 +108,7 @@ class WordEncoder:
         self.spaced = np.zeros(1 << self.bits, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith(space)
+        self.known, self.known_rows = pa.array([], pa.string()), Rows.of([], self.kind)
 
     def _ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -166,6 +170,23 @@ class WordEncoder:
         per_part = pieces.sizes[parts]
         return Rows(pieces.gather(parts), np.add.reduceat(per_part, at) if len(words) else per_part)
 
+    def _remembered(self, words: pa.Array, odd: np.ndarray) -> Rows:
+        """As ``_distinct``, which sees only words that aren't known."""
+        known = self.known.cast(words.type)
+        found = pc.index_in(words, value_set=known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        fresh = words.filter(pa.array(new))
+        table = Rows.joined([self.known_rows, self._distinct(fresh, odd[new])])
+        at = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[new] = len(known) + np.arange(len(fresh))
+        rows = Rows(table.flat, table.sizes[at], table.starts[at])
+        fits = lambda n, *parts: n <= KNOWN_WORDS and sum(x.nbytes for x in parts) <= KNOWN_BYTES
+        if fits(len(known) + len(fresh), known, fresh, table.flat):
+            self.known, self.known_rows = pa.concat_arrays([known, fresh]), table
+        elif fits(len(words), words, table.flat[: rows.sizes.sum()]):
+            self.known, self.known_rows = words, Rows(rows.gather(np.arange(len(words))), rows.sizes)
+        return rows
+
     def _pieces(self, words: pa.Array) -> str:
         text = self._spelled(words)
         return (self.space + text.replace(" ", " " + self.space)) if len(words) else ""
@@ -186,7 +207,7 @@ class WordEncoder:
         blank = lambda i: pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, i, i + 1)).to_numpy(zero_copy_only=False)
         alone = pc.or_(pc.equal(distinct, ""), pc.equal(distinct, "\n")).to_numpy(zero_copy_only=False)
         odd = alone | blank(0) & (blank(1) | ~pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False))
-        rows = self._distinct(distinct, odd)
+        rows = self._remembered(distinct, odd)
         whole: dict[int, np.ndarray] = {}
         if odd.any():
             for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[at]), "right") - 1).tolist():

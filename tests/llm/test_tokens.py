@@ -28,6 +28,23 @@ def test_encoding_by_word_equals_the_library(library, start):
     assert len(ids) == sum(sizes)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 40, 0])
+def test_words_of_earlier_slices_are_remembered(library, monkeypatch, most):
+    """Only new words reach the tokenizer while they fit; ids are the library's when they don't as well."""
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", most)
+    r, encoder, new = random.Random(2), tokens.WordEncoder(tokens.tokenizer_path()), []
+    plain = encoder._distinct
+    monkeypatch.setattr(encoder, "_distinct", lambda words, odd: new.append(words.to_pylist()) or plain(words, odd))
+    slices = [HARD + [" ".join(r.choice(["the", "the,", "sea\nis", "\nblue", "7th", "été"]) + str(r.randint(0, n)) for _ in range(40)) for _ in range(5)] for n in (3, 30, 3)]
+    for texts in [*slices, slices[2], ["x" * 2_000_000, "the sea"]]:
+        ids, sizes = encoder.encode(pa.array(texts))
+        for t, g in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert g.tolist() == library.encode(t, add_special_tokens=False).ids
+    if most == 1 << 20:
+        assert sum(map(len, new)) == len(set().union(*new)) and new[3] == []
+    assert len(encoder.known) <= most
+
+
 def test_special_tokens_as_text(library):
     texts = ["a <|endoftext|> b", "c"]
     library = tokenizers.Tokenizer.from_file(tokens.tokenizer_path())
