@@ -442,6 +442,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                         yield flush()
                     held.append((key, np.append(own, end)))
                     n += len(own) + 1
+                pa.default_memory_pool().release_unused()  # the worker outlives the task
         if held:
             yield flush()
 
