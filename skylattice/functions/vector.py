@@ -22,8 +22,9 @@ def norm(a) -> Column:
 
 def normalise(a, guarded: bool = True) -> Column:
     """Unit length. A zero vector stays zero if guarded, else becomes null elements."""
-    n = norm(a)
-    return F.transform(_c(a).cast("array<double>"), (lambda x: x / F.greatest(n, F.lit(1e-12))) if guarded else (lambda x: F.try_divide(x, n)))
+    by = lambda n: (lambda x: x / F.greatest(n, F.lit(1e-12))) if guarded else (lambda x: F.try_divide(x, n))
+    # the norm as an element of an array is taken once for a vector, not for each of its components
+    return F.transform(F.array(norm(a)), lambda n: F.transform(_c(a).cast("array<double>"), by(n)))[0]
 
 
 def first_argmax(a) -> Column:

@@ -1,5 +1,6 @@
 import json
 import struct
+import time
 import zlib
 from pathlib import Path
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice import storage
-from skylattice.functions import text
+from skylattice.functions import text, vector
 from skylattice.functions.random_u import uniform
 from skylattice.operators import captions, contrastive, fetch, models, provision, retrieval, sampling, tiles
 from skylattice.sources import config, geo_files, images, tables, writers
@@ -333,6 +334,16 @@ def test_near_ties_and_any_length(spark, scale):
         assert (r.relevant, r.first_rank) == (len(ranks), ranks[0]) and r.average_precision == pytest.approx((np.arange(1, len(ranks) + 1) / ranks).mean())
 
 
+def test_normalising_takes_the_norm_once(spark):
+    """Time grows with the components of a vector, not with their square."""
+    rows = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda x: x + F.col("id")).alias("v"))
+    began = time.perf_counter()
+    got = rows.select(vector.normalise("v").alias("v")).collect()
+    assert time.perf_counter() - began < 10
+    want = np.arange(1, 6001) / np.linalg.norm(np.arange(1.0, 6001))
+    assert got[0].v == pytest.approx(want, rel=1e-12)
+
+
 def test_report(spark):
     sets = spark.createDataFrame([("a<b", 2, 3, 1.0, 1.0, 1.0, 1.0, 0.5), ("c", 4, 1, 0.0, 0.5, 1.0, 0.25, 0.25)], "dataset string, num_images long, num_classes long, `R@1` double, `R@5` double, `R@10` double, MRR double, MAP double")
     rows = [tuple(r) for r in retrieval.report_rows(sets).collect()]
